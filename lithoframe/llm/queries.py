@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lithoframe.llm.exact_dedup import exact_dedup
+from lithoframe.llm.packing import pack_documents
+from lithoframe.llm.token_file import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer()))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_token_file, op5_best_fit_packing, op7_exact_dedup)}
 
 ORACLES = {
     "op7_exact_dedup": """
