@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lithoframe.llm.exact_dedup import exact_dedup
+from lithoframe.llm.labelled import fold_of
 from lithoframe.llm.packing import pack_documents
+from lithoframe.llm.simhash import fingerprint_hex, simhash_groups
 from lithoframe.llm.token_file import read_tokens, write_tokens
+from lithoframe.llm.toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +35,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_file, op5_best_fit_packing, op7_exact_dedup)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = score_toxicity(documents, train_toxicity(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_file, op5_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_simhash)}
 
 ORACLES = {
     "op7_exact_dedup": """
