@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithoframe.llm import bpe, chat
 from lithoframe.llm.exact_dedup import exact_dedup
 from lithoframe.llm.labelled import fold_of
 from lithoframe.llm.packing import pack_documents
+from lithoframe.llm.quality import score_quality, train_quality
 from lithoframe.llm.simhash import fingerprint_hex, simhash_groups
 from lithoframe.llm.token_file import read_tokens, write_tokens
 from lithoframe.llm.toxicity import score_toxicity, train_toxicity
@@ -23,10 +25,31 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = score_quality(documents, train_quality(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.digests(bpe.bpe_decode(encoded, ranks, pattern))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    return chat.chat_digests(chat.format_chats(turns.unionByName(own)))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
 
@@ -45,9 +68,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_file, op5_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_file, op3_bpe, op4_chat, op5_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_simhash)}
 
 ORACLES = {
+    "op4_chat": chat.ORACLE,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
