@@ -11,6 +11,7 @@ from lithoframe.llm.labelled import fold_of
 from lithoframe.llm.packing import pack_documents
 from lithoframe.llm.quality import score_quality, train_quality
 from lithoframe.llm.simhash import fingerprint_hex, simhash_groups
+from lithoframe.llm.suffix_dedup import removed_spans
 from lithoframe.llm.token_file import read_tokens, write_tokens
 from lithoframe.llm.toxicity import score_toxicity, train_toxicity
 
@@ -68,7 +69,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_file, op3_bpe, op4_chat, op5_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_simhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = removed_spans(table(spark, sf_dir, "documents"), with_text=False)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return spans.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_file, op3_bpe, op4_chat, op5_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_simhash, op10_suffix_dedup)}
 
 ORACLES = {
     "op4_chat": chat.ORACLE,
