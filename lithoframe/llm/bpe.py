@@ -145,7 +145,7 @@ def replay(words: list[bytes], table: MergeTable) -> list[bytes]:
 class BytePairCoder:
     """Texts to ids and back. Words met before are kept, about ``max_known`` of them."""
 
-    def __init__(self, path: str, pattern: str, max_known: int = 400_000, longest_known: int = 64):
+    def __init__(self, path: str, pattern: str, max_known: int = 300_000, longest_known: int = 64):
         import regex
 
         self.table = MergeTable(read_ranks(path))
@@ -181,44 +181,48 @@ def coder(path: str, pattern: str) -> BytePairCoder:
     return _coders[path, pattern]
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8 << 20) -> DataFrame:
+def _encoded(use: BytePairCoder, batches, block_chars: int):
+    for batch in batches:
+        for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), block_chars):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(use.encode(texts), pa.binary())], ["doc_id", "ids"])
+
+
+def _decoded(use: BytePairCoder, batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([use.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
+
+
+def _digested(batches):
+    sha = lambda x: hashlib.sha256(x or b"").hexdigest()
+    for batch in batches:
+        ids = batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x or b"") // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, batch.column(2).to_pylist()), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 3 << 20) -> DataFrame:
     """``doc_id`` and ``ids`` (binary, little-endian unsigned 32-bit) of every whole text; a null or empty text has none.
 
     Each match of ``pattern`` is encoded alone. Rows that repeat an id are each
     encoded; other columns play no part; an empty table gives no rows. Merges
     are replayed for blocks of about ``block_chars`` characters, or one text.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-
-    def run(batches):
-        use = coder(path, pattern)
-        for batch in batches:
-            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), block_chars):
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(use.encode(texts), pa.binary())], ["doc_id", "ids"])
-
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    return keyed_text(df, id_col, text_col).mapInArrow(lambda b: _encoded(coder(path, pattern), b, block_chars), "doc_id long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded`` (binary) for what ``bpe_encode`` gives; null ids decode to nothing."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(coder(path, pattern), b), "doc_id long, ids binary, decoded binary")
 
-    def run(batches):
-        use = coder(path, pattern)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([use.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
-
-
-def digests(decoded: DataFrame) -> DataFrame:
-    """Token count and SHA-256 of ids and of decoded bytes."""
+def bpe_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 3 << 20) -> DataFrame:
+    """Encode and decode in one pass: token count and SHA-256 of ids and of decoded bytes. Rows are handled as ``bpe_encode`` says."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
     def run(batches):
-        sha = lambda x: hashlib.sha256(x or b"").hexdigest()
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x or b"") // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, batch.column(2).to_pylist()), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        use = coder(path, pattern)
+        yield from _digested(_decoded(use, _encoded(use, batches, block_chars)))
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -39,9 +39,7 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks, pattern = tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe.digests(bpe.bpe_decode(encoded, ranks, pattern))
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
