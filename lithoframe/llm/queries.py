@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lithoframe.llm import bpe, chat
 from lithoframe.llm.exact_dedup import exact_dedup
 from lithoframe.llm.labelled import fold_of
+from lithoframe.llm.media import image_copies, rendered
 from lithoframe.llm.packing import pack_documents
 from lithoframe.llm.quality import score_quality, train_quality
 from lithoframe.llm.simhash import fingerprint_hex, simhash_groups
@@ -53,6 +54,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each embedding is drawn as one."""
+    return image_copies(rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -73,7 +79,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_file, op3_bpe, op4_chat, op5_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_simhash, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_file, op3_bpe, op4_chat, op5_best_fit_packing, op6_image_copies, op7_exact_dedup, op8_toxicity, op9_simhash, op10_suffix_dedup)}
 
 ORACLES = {
     "op4_chat": chat.ORACLE,

@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithoframe.llm.common import keyed_text
 from lithoframe.llm.encoder import in_groups
@@ -315,21 +315,31 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
     return fit(training_rows(documents, labels, label, folds, held_fold, max_rows, max_chars), epochs)
 
 
-def score_toxicity(df: DataFrame, net: GatedNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) for every row, over all windows of the whole text.
+def with_toxicity(df: DataFrame, net: GatedNet, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of ``df`` with ``score_col`` (0 to 1), over all windows of each whole text; a column of that name is replaced.
 
     A null or empty text, or one of white space only, gets the score of a
-    window without words. Rows that repeat an id are each scored; other columns
-    play no part; an empty table gives no rows.
+    window without words. Rows that repeat are each scored; further columns
+    pass through; an empty table gives no rows.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     shared = spark.sparkContext.broadcast(net)
+    own = df.drop(score_col)
+    at = own.columns.index(text_col)
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 19):
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(scorer.score(texts))], ["doc_id", "score"])
+            done = 0
+            for rows, texts in in_groups(list(range(batch.num_rows)), batch.column(at).to_pylist(), 1 << 19):
+                part = batch.slice(done, len(rows))
+                done += len(rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts))], [*batch.schema.names, score_col])
+
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+def score_toxicity(df: DataFrame, net: GatedNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``score`` for every row, as ``with_toxicity`` gives it."""
+    return with_toxicity(keyed_text(df, id_col, text_col), net).select("doc_id", "score")
