@@ -74,7 +74,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = removed_spans(table(spark, sf_dir, "documents"), with_text=False)
+    spans = removed_spans(table(spark, sf_dir, "documents"), kept="sha256")
     removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
 

@@ -201,7 +201,7 @@ def _blocks(batches, block_bytes: int) -> Iterator[tuple[list[int], list[bytes]]
         yield ids, texts
 
 
-def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, k: int = 16, block_bytes: int = 12 << 20, shards: int | None = None, with_text: bool = True) -> DataFrame:
+def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, k: int = 16, block_bytes: int = 12 << 20, shards: int | None = None, kept: str = "bytes") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, starts, ends, kept`` — spans of bytes to remove, in order, and what stays.
 
     A byte goes if it lies in ``width`` bytes that also start in a document of
@@ -210,7 +210,8 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share an id are one document to each other: neither removes from the other.
     Other columns play no part; an empty table gives no rows. Blocks rely on a
     partition giving its rows in the same order if a task runs again, as tables
-    do. Without ``with_text``, ``kept`` is the SHA-256 of what stays.
+    do. ``kept`` asks for the remaining ``bytes``, for them as ``text`` without
+    the parts of characters that were cut through, or for their ``sha256``.
     """
     spark = df.sparkSession
     # Rows of packed arrays are large and few.
@@ -319,8 +320,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         yield from _emit(rows())
 
-    kept_type = "binary" if with_text else "string"
-    out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary() if with_text else pa.string())])
+    form = {"bytes": lambda b: b, "text": lambda b: b.decode("utf-8", "ignore"), "sha256": lambda b: hashlib.sha256(b).hexdigest()}[kept]
+    kept_type = "binary" if kept == "bytes" else "string"
+    out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary() if kept == "bytes" else pa.string())])
 
     def finish(batches):
         for _, got in _groups(batches, 1):
@@ -354,9 +356,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lo, hi = np.searchsorted(all_ends, a, side="right"), np.searchsorted(all_starts, b, side="left")
                 s, e = np.maximum(all_starts[lo:hi], a), np.minimum(all_ends[lo:hi], b)
                 cuts = [a, *np.stack([s, e], axis=1).ravel().tolist(), b]
-                kept = b"".join([block.data[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)])
-                rows.append((int(block.ids[i]), b - a, (s - a).tolist(), (e - a).tolist(), kept if with_text else hashlib.sha256(kept).hexdigest()))
-                size += b - a if with_text else 64
+                stays = form(b"".join([block.data[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]))
+                rows.append((int(block.ids[i]), b - a, (s - a).tolist(), (e - a).tolist(), stays))
+                size += len(stays)
                 if size >= 4 << 20 or i == len(block.ends) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out_schema.types, strict=True)], out_schema.names)
                     rows, size = [], 0
