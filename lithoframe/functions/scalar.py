@@ -62,3 +62,12 @@ def solve3(m: list[list[Column]], r: list[Column], scale: Column, tiny: float =
     d = det3(m)
     ok = F.abs(d) > F.lit(tiny) * scale
     return [F.when(ok, det3([[r[i] if k == j else m[i][k] for k in range(3)] for i in range(3)]) / d) for j in range(3)]
+
+
+def correlation(a: str | Column, b: str | Column, over: object | None = None) -> Column:
+    """Pearson correlation of pairs that are there; NULL where one side does not vary."""
+    a, b = col(a), col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    size = at(F.stddev_pop(x)) * at(F.stddev_pop(y))
+    return F.when(size > 0, at(F.covar_pop(x, y)) / F.when(size > 0, size))

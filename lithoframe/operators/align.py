@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithoframe.functions.scalar import correlation
+
 
 def segments(t: DataFrame, key: list[str] | None = None, bucket: float = 64.0) -> DataFrame:
     """Typewell rows with the next row's depth and GR, once for each bucket they touch. The ends reach out to hold all depths."""
@@ -138,6 +140,6 @@ def shifted_correlation(rows: DataFrame, anchor: str, t: DataFrame, offsets: lis
     spread = rows.select(key, order, "GR", anchor, F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("__at", F.col(anchor) + F.col("offset"))
     found = interpolate(spread, "__at", t)
     w = Window.partitionBy(key, "offset").orderBy(order).rowsBetween(-half, half)
-    scored = found.withColumn("c", F.corr("GR", "tw_gr").over(w)).filter(F.col("c").isNotNull() & ~F.isnan("c"))
+    scored = found.withColumn("c", correlation("GR", "tw_gr", w)).filter(F.col("c").isNotNull())
     best = F.max(F.struct("c", (-F.abs(F.col("offset"))).alias("near"), "offset", F.abs(F.col("GR") - F.col("tw_gr")).alias("gap")))
     return scored.groupBy(key, order).agg(best.alias("m")).select(key, order, F.col("m.c").alias("xcorr_best_corr"), F.col("m.offset").alias("xcorr_tvt_delta"), F.col("m.gap").alias("xcorr_best_absdiff"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithoframe.functions.scalar import correlation
+
 
 def group_stats(df: DataFrame, value: str, key: str = "well") -> DataFrame:
     """Moments and distinct count per group; skewness and excess kurtosis of the population."""
@@ -31,7 +33,7 @@ def interactions(eps: float = 1e-6) -> dict[str, Column]:
 def prefix_stats(df: DataFrame, key: str = "well") -> DataFrame:
     """Of the visible rows: length, slope of target over depth, and RMSE around that line."""
     y, x = F.col("TVT_input"), F.when(F.col("TVT_input").isNotNull(), F.col("MD"))
-    r2 = F.corr(y, x)
+    r2 = F.coalesce(correlation(y, x), F.lit(0.0))
     return df.groupBy(key).agg(F.count(y).alias("prefix_length"), F.regr_slope(y, x).alias("prefix_slope"), (F.stddev_pop(y) * F.sqrt(F.greatest(F.lit(0.0), 1 - r2 * r2))).alias("prefix_rmse"))
 
 

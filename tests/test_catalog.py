@@ -33,7 +33,7 @@ def plain(df: pd.DataFrame) -> list:
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA).toPandas()
-    assert len(got) or name in ("fold_split",)
+    assert len(got) or name in ("nearest_gr", "match_shift", "xcorr")  # the typewell is out of reach in the smallest tables
     if name in catalog.ORACLES:
         want = duck.execute(catalog.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
