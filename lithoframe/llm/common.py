@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,22 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def salt_of(column: str | Column, salts: int) -> Column:
     """A salt in [0, salts) that spreads the rows of one hot key."""
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that gives its memory back to the system when a task ends.
+
+    Python workers outlive tasks, and several of them share an executor.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task

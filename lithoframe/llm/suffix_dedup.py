@@ -30,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import fresh_path, keyed_text
+from lithoframe.llm.common import fresh_path, keyed_text, lean
 from lithoframe.llm.suffix_sort import least_owner
 from lithoframe.llm.token_file import file_system, put
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+SLICE = 1 << 20
+NO_ID = np.iinfo(np.int64).max
 ROW = "shard int, block long, path string, kind int, data binary"
 ROW_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -42,6 +44,8 @@ ROW_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("path", p
 def runs(data: bytes, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of documents that follow each other in ``data``: minimizer, document, first window, number of windows.
 
+    ``ends`` are the documents' ends; the last may lie beyond ``data``.
+
     A run has at most as many windows as a window has ``k``-byte strings, so a
     run's bytes are bounded where a text repeats one string. ``k`` is a
     multiple of 8.
@@ -67,12 +71,15 @@ def runs(data: bytes, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray,
     if size < span:
         h = np.minimum(h[: size - span], h[span - size :])
     h = h[: n - width + 1]
-    lengths = np.diff(ends, prepend=0)
+    lengths = np.diff(np.minimum(ends, n), prepend=0)
     doc = np.repeat(np.arange(len(ends)), lengths)[: len(h)]
     place = np.flatnonzero(np.arange(len(h)) + width <= ends[doc])
     if not len(place):
         return none.astype(np.uint64), none, none, none
-    value, doc = h[place], doc[place]
+    # Least hashes crowd at the low end; mixed anew they are even, and equal where they were.
+    value, doc = h[place] * _A, doc[place]
+    value ^= value >> np.uint64(32)
+    value *= _C
     at = np.arange(len(place))
     new = np.ones(len(place), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
@@ -94,12 +101,12 @@ class Block:
 
     def find_runs(self, k: int) -> Block:
         ends, data, width = self.ends, self.data, self.width
-        found, at, i = [], 0, 0
-        while i < len(ends):  # in parts that stay near the processor
-            j = max(i + 1, int(np.searchsorted(ends, at + (1 << 20), side="right")))
-            h, doc, place, n = runs(data[at : int(ends[j - 1])], ends[i:j] - at, width, k)
+        found = []
+        for at in range(0, len(data), SLICE):  # slices stay near the processor, however long a document is
+            stop = min(len(data), at + SLICE + width - 1)
+            i, j = (int(np.searchsorted(ends, x, side="right")) for x in (at, stop - 1))
+            h, doc, place, n = runs(data[at:stop], ends[i : j + 1] - at, width, k)
             found.append((h, doc + i, place + at, n))
-            at, i = int(ends[j - 1]), j
         join = lambda c, t: np.concatenate([f[c] for f in found] or [np.zeros(0)]).astype(t)
         self.hash, self.doc, self.place, self.windows = join(0, np.uint64), join(1, np.int32), join(2, np.int64), join(3, np.int64)
         return self
@@ -121,7 +128,7 @@ class Block:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct minimizers in order, whether two documents of the block have each, and each run's number among them."""
-        order = np.argsort(self.hash, kind="stable")
+        order = np.argsort(self.hash)
         h, doc = self.hash[order], self.ids[self.doc[order]]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
@@ -191,7 +198,7 @@ def _blocks(batches, block_bytes: int) -> Iterator[tuple[list[int], list[bytes]]
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             b = t.encode("utf-8", "surrogatepass")
-            ids.append(i)
+            ids.append(NO_ID if i is None else i)
             texts.append(b)
             size += len(b)
             if size >= block_bytes:
@@ -208,6 +215,7 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smaller id; matches are judged on the input and never cross documents. A
     null text is empty; texts shorter than ``width`` stay whole. Rows that
     share an id are one document to each other: neither removes from the other.
+    A NULL id counts as larger than all.
     Other columns play no part; an empty table gives no rows. Blocks rely on a
     partition giving its rows in the same order if a task runs again, as tables
     do. ``kept`` asks for the remaining ``bytes``, for them as ``text`` without
@@ -217,7 +225,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows of packed arrays are large and few.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     folder = fresh_path(spark, "blocks")
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A task sorts one shard at a time, so small shards bound its memory.
+    shards = shards or 4 * partitions
 
     def start(batches):
         def rows():
@@ -357,16 +367,16 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 s, e = np.maximum(all_starts[lo:hi], a), np.minimum(all_ends[lo:hi], b)
                 cuts = [a, *np.stack([s, e], axis=1).ravel().tolist(), b]
                 stays = form(b"".join([block.data[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]))
-                rows.append((int(block.ids[i]), b - a, (s - a).tolist(), (e - a).tolist(), stays))
+                rows.append((None if block.ids[i] == NO_ID else int(block.ids[i]), b - a, (s - a).tolist(), (e - a).tolist(), stays))
                 size += len(stays)
                 if size >= 4 << 20 or i == len(block.ends) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out_schema.types, strict=True)], out_schema.names)
                     rows, size = [], 0
 
-    by_shard = lambda d: d.repartitionById(shards + 1, F.col("shard") + 1).sortWithinPartitions("shard", "block")
-    by_block = lambda d: d.repartition(shards, "block").sortWithinPartitions("block", "shard")
-    sent = by_block(by_shard(keyed_text(df, id_col, text_col).mapInArrow(start, ROW)).mapInArrow(share, ROW)).mapInArrow(send, ROW)
-    return by_block(by_shard(sent).mapInArrow(sort, ROW)).mapInArrow(finish, f"doc_id long, n_bytes long, starts array<long>, ends array<long>, kept {kept_type}")
+    by_shard = lambda d: d.repartitionById(partitions, F.pmod(F.col("shard") + 1, F.lit(partitions))).sortWithinPartitions("shard", "block")
+    by_block = lambda d: d.repartition(partitions, "block").sortWithinPartitions("block", "shard")
+    sent = by_block(by_shard(keyed_text(df, id_col, text_col).mapInArrow(lean(start), ROW)).mapInArrow(lean(share), ROW)).mapInArrow(lean(send), ROW)
+    return by_block(by_shard(sent).mapInArrow(lean(sort), ROW)).mapInArrow(lean(finish), f"doc_id long, n_bytes long, starts array<long>, ends array<long>, kept {kept_type}")
 
 
 def _decompressed(raw: bytes) -> bytes:

@@ -147,7 +147,12 @@ def rises_of(text: np.ndarray) -> np.ndarray:
 def _refine(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> None:
     """Order rows of equal rank by ``key``. A rank is the number of rows of lower rank; ``rows`` holds whole ranks."""
     old = rank[rows]
-    order = np.lexsort((key, old))
+    low = int(key.min(initial=0))
+    bits = int(key.max(initial=0) - low).bit_length()
+    if bits + len(rank).bit_length() < 63:  # one number for both
+        order = np.argsort((old << bits) + (key - low))
+    else:
+        order = np.lexsort((key, old))
     rows, old, key = rows[order], old[order], key[order]
     at = np.arange(len(rows))
     new_rank = np.concatenate([[True], old[1:] != old[:-1]])
@@ -186,7 +191,7 @@ def _name_stars(text: np.ndarray, rises: np.ndarray, stars: np.ndarray) -> np.nd
     n = len(text)
     lengths = np.diff(np.concatenate([stars, [n - 1]])) + 1
     rank = np.zeros(len(stars), np.int64)
-    wide = int(text.max(initial=0)) * 2 + 3 >= 1 << 16
+    bits = (2 * int(text.max(initial=0)) + 3).bit_length()
     rows, step = np.arange(len(stars)), 0
     while len(rows):
         if step:
@@ -194,25 +199,46 @@ def _name_stars(text: np.ndarray, rises: np.ndarray, stars: np.ndarray) -> np.nd
             rows = rows[~alone]
             if not len(rows):
                 break
-        if wide:
-            at = stars[rows] + step
-            key = text[at].astype(np.int64) * 2 + rises[at] + 1
-            step += 1
-        else:
-            key = np.zeros(len(rows), np.int64)
-            for t in range(3):
-                at = stars[rows] + step + t
-                inside = step + t < lengths[rows]
-                at = np.minimum(at, n - 1)
-                key = (key << 17) + np.where(inside, text[at].astype(np.int64) * 2 + rises[at] + 1, 0)
-            step += 3
+        # As many symbols as fit a number beside the rank.
+        take = max(1, (62 - (len(rank).bit_length() if step else 0)) // bits)
+        key = np.zeros(len(rows), np.int64)
+        begin, left = stars[rows] + step, lengths[rows] - step
+        for t in range(take):
+            at = np.minimum(begin + t, n - 1)
+            code = text[at].astype(np.int64) * 2 + rises[at] + 1
+            key = (key << bits) + np.where(t < left, code, 0)
+        step += take
         _refine(rank, rows, key)
-        rows = rows[lengths[rows] > step]
+        rows = rows[left > take]
     return rank
 
 
 def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Symbols that the suffixes at ``a`` and ``b`` share, at most ``depth``."""
+    out = np.full(len(a), depth, np.uint8)
+    rows, n = np.arange(len(a)), len(text)
+    if text.dtype == np.uint16 and n >= 4 and text.flags.c_contiguous:  # four symbols at a time
+        four = np.ndarray((n - 3,), "<u8", buffer=text, strides=(2,))
+        for k in range(0, depth, 4):
+            x, y = a[rows] + k, b[rows] + k
+            inside = np.maximum(x, y) <= n - 4
+            diff = np.ones(len(rows), np.uint64)
+            diff[inside] = four[x[inside]] ^ four[y[inside]]
+            same = diff == 0
+            ends = ~same & inside
+            d = diff[ends]
+            out[rows[ends]] = np.minimum(depth, k + (np.bitwise_count((d & (~d + np.uint64(1))) - np.uint64(1)) >> 4))
+            near = rows[~inside]  # at the text's end, one at a time
+            if len(near):
+                out[near] = np.minimum(depth, k + _one_by_one(text, a[near] + k, b[near] + k, depth))
+            rows = rows[same]
+            if not len(rows):
+                break
+        return out
+    return _one_by_one(text, a, b, depth)
+
+
+def _one_by_one(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     out = np.full(len(a), depth, np.uint8)
     rows, n = np.arange(len(a)), len(text)
     for k in range(depth):
@@ -226,7 +252,7 @@ def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
     return out
 
 
-def suffixes_descending(text: np.ndarray, depth: int, memory: int = 256 << 20, in_memory: int = 4 << 20, folder: str | None = None, lcp: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def suffixes_descending(text: np.ndarray, depth: int, memory: int = 64 << 20, in_memory: int = 4 << 20, folder: str | None = None, lcp: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes of ``text`` from the largest: chunks of positions and of what each shares with the one before it in this order.
 
     ``depth`` is at most 255. ``memory`` bounds each queue; ``in_memory`` is the
@@ -255,7 +281,8 @@ def _induced(text, depth, memory, in_memory, folder, lcp) -> Iterator[tuple[np.n
             order = doubling(rank, below)
     else:
         order = np.argsort(rank)
-    stars = stars[order]
+    kind = np.int32 if n < 1 << 31 else np.int64
+    stars = stars[order].astype(kind)
     star_shared = np.zeros(len(stars), np.uint8)
     if lcp and len(stars) > 1:
         for i in range(1, len(stars), CHUNK):
@@ -265,7 +292,7 @@ def _induced(text, depth, memory, in_memory, folder, lcp) -> Iterator[tuple[np.n
 
     falling = BucketQueue(symbols, memory, folder, "l")
     induce = _Inducer(text, rises, falling, False, depth, symbols, lcp)
-    falling.push(int(text[n - 1]), np.array([n - 1]), np.zeros(1, np.uint8))
+    falling.push(int(text[n - 1]), np.array([n - 1], kind), np.zeros(1, np.uint8))
     for c in range(symbols):
         last = None
         for places, shared in falling.chunks(c):
