@@ -2,8 +2,9 @@
 
 A corner is a local maximum of the Harris response at one of several scales.
 The patch around it is turned to its intensity centroid, and 128 comparisons of
-smoothed intensities make its descriptor. Descriptors that agree in one of four
-32-bit parts are compared in full; pairs of images then need several corners
+smoothed intensities make its descriptor. Descriptors that agree in one of six
+overlapping parts are compared in full; a part has more bits the more images
+there are, so that as many meet by chance; pairs of images then need several corners
 that agree on one turn, scale and shift. Links make components.
 
 An image that is cropped, turned, rescaled a little, brightened or drawn over
@@ -12,18 +13,20 @@ keeps enough of its corners.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import written
+from lithoframe.llm.common import lean, written
 from lithoframe.llm.components import components
 
 SCALES = (1.0, 1.4, 2.0)
-PATCH, BITS, TABLES = 9, 128, 4
+PATCH, BITS, TABLES = 9, 128, 6
 _rng = np.random.default_rng(7)
 TESTS = np.clip(_rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
 _grid = np.arange(-PATCH, PATCH + 1)
@@ -144,28 +147,36 @@ def describe(gray: np.ndarray, quality: float = 0.1, apart: int = 4) -> tuple[np
     return tuple(np.concatenate([f[i] for f in found]) for i in range(5))
 
 
-def descriptors(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """A row per corner: ``image_id, x, y, scale, angle, d0, d1``. Null, empty and unreadable images have none."""
+PLACE = ["x", "y", "scale", "angle", "d0", "d1"]
+
+
+def described(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+    """``image_id``, ``digest`` (SHA-256 of the bytes, NULL for none) and ``corners``, an array, in one pass over the images.
+
+    Null, empty and unreadable images have no corners.
+    """
     images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    corner = pa.struct([*[(c, pa.float64()) for c in PLACE[:4]], ("d0", pa.int64()), ("d1", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            ids, parts = [], []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                gray = decode_image(data)
+            ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts, ends = [], [0]
+            for raw in data:
+                gray = decode_image(raw)
                 if gray is not None:
                     parts.append(describe(gray))
-                    ids += [i] * len(parts[-1][0])
-            if ids:
-                x, y, scale, angle, words = (np.concatenate([p[k] for p in parts]) for k in range(5))
-                words = words.view(np.int64)
-                yield pa.RecordBatch.from_pydict({"image_id": ids, "x": x, "y": y, "scale": scale, "angle": angle, "d0": np.ascontiguousarray(words[:, 0]), "d1": np.ascontiguousarray(words[:, 1])})
+                ends.append(ends[-1] + (len(parts[-1][0]) if gray is not None else 0))
+            x, y, scale, angle, words = (np.concatenate([p[k] for p in parts]) if parts else np.zeros((0, 2) if k == 4 else 0, np.uint64 if k == 4 else float) for k in range(5))
+            words = words.view(np.int64)
+            flat = pa.StructArray.from_arrays([pa.array(v) for v in (x, y, scale, angle, words[:, 0].copy(), words[:, 1].copy())], fields=list(corner))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if r is None else hashlib.sha256(r).hexdigest() for r in data], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["image_id", "digest", "corners"])
 
     chosen = images.select(images[id_col].cast("long").alias("image_id"), images[image_col].alias("image"))
-    return chosen.mapInArrow(run, "image_id long, x double, y double, scale double, angle double, d0 long, d1 long")
+    return chosen.mapInArrow(lean(run), "image_id long, digest string, corners array<struct<x double, y double, scale double, angle double, d0 long, d1 long>>")
 
 
-def consensus(pairs: DataFrame, least: int = 4, shift: float = 8.0) -> DataFrame:
+def consensus(pairs: DataFrame, least: int = 3, shift: float = 8.0) -> DataFrame:
     """Image pairs (``a``, ``b``) of which ``least`` corners agree on turn, scale and shift.
 
     Each match votes for its bin and the next in every dimension, so that a
@@ -183,39 +194,57 @@ def consensus(pairs: DataFrame, least: int = 4, shift: float = 8.0) -> DataFrame
     return agreed.filter(F.col("n") >= least).select("a", "b").distinct()
 
 
-def image_links(found: DataFrame, most: int = 256, bits: int = 24, least: int = 4) -> DataFrame:
-    """Links between images by their descriptors.
+def table_bits(n: int, base: int = 40, at: int = 1024) -> int:
+    """Bits of a table's part: ``base`` up to ``at`` images, then one more for each doubling."""
+    return base + max(0, (max(n, 1) - 1) // at).bit_length()
+
+
+def _part(start: int, bits: int) -> Column:
+    """``bits`` of the 128, from ``start``, going on at the front after the end."""
+    high, low = (F.col("d0"), F.col("d1")) if start < 64 else (F.col("d1"), F.col("d0"))
+    r = start % 64
+    word = high if not r else F.shiftleft(high, r).bitwiseOR(F.shiftrightunsigned(low, 64 - r))
+    return F.shiftrightunsigned(word, 64 - bits)
+
+
+def image_links(found: DataFrame, n: int, most: int = 128, leaders: int = 16, bits: int = 24, least: int = 3) -> DataFrame:
+    """Links among ``n`` images by their descriptors.
 
     A bucket of the Hamming tables with at most ``most`` corners is compared
-    within itself. A larger one is compared with its least image, round by
-    round: each time the images that are linked to that image leave, and the
-    rest go on, until all buckets are small. So a large group of copies costs
-    its size and no pair of images is left out for a bucket's size alone.
+    within itself. A larger one is compared with the corners of its least
+    images, ``leaders`` of them a round: each time, these and the images that
+    are linked to one of them leave, and the rest go on, until all buckets are
+    small. So a large group of copies costs its size, not its square, and no
+    corner is left out because its bucket is large.
     """
-    part = lambda w, k: F.shiftrightunsigned(F.col(w), 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), part(f"d{t // 2}", t % 2).alias("part")) for t in range(TABLES)]))
-    corners = found.withColumn("key", keys)
-    counts = lambda d: d.groupBy("key").agg(F.count("*").alias("n"), F.min("image_id").alias("leader"), F.max("image_id").alias("other"))
-    place = ["x", "y", "scale", "angle", "d0", "d1"]
+    width = min(64, table_bits(n))
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), _part(BITS * t // TABLES, width).alias("part")) for t in range(TABLES)]))
+    place = PLACE
     side = lambda d, s: d.select("key", F.col("image_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in place])
 
+    def counted(d: DataFrame) -> DataFrame:
+        counts = d.groupBy("key").agg(F.count("*").alias("n"), F.min("image_id").alias("first"), F.max("image_id").alias("other")).filter("first < other")
+        return written(d.join(counts, "key").select("key", "image_id", *place, "n"), "corners")
+
     def matched(a: DataFrame, b: DataFrame) -> DataFrame:
         near = F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))) + F.bit_count(F.col("d1_a").bitwiseXOR(F.col("d1_b"))) <= bits
-        return consensus(side(a, "a").join(side(b, "b"), "key").filter((F.col("a") < F.col("b")) & near), least)
+        return side(a, "a").join(side(b, "b"), "key").filter((F.col("a") < F.col("b")) & near)
 
-    rest = written(corners.join(counts(corners).filter("leader < other"), "key").select("key", "image_id", *place, "n", "leader"), "corners")
-    links = None
+    rest, links = counted(found.withColumn("key", keys)), []
     while True:
         small, large = rest.filter(F.col("n") <= most), rest.filter(F.col("n") > most)
-        new = matched(small, small)
-        if large.isEmpty():
-            links = new if links is None else links.union(new)
-            return links.distinct()
-        led = written(matched(large.filter("image_id = leader"), large.filter("image_id > leader")), "links")
-        new = written(new.union(led), "links")
-        links = new if links is None else links.union(new)
-        gone = large.join(led, (large.leader == led.a) & (large.image_id == led.b), "left_anti").filter("image_id > leader").select("key", "image_id", *place)
-        rest = written(gone.join(counts(gone).filter("leader < other"), "key").select("key", "image_id", *place, "n", "leader"), "corners")
+        more = not large.isEmpty()
+        pairs = matched(small, small)
+        if more:
+            rank = F.dense_rank().over(Window.partitionBy("key").orderBy("image_id"))
+            lead = written(large.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", "image_id", *place), "leaders")
+            pairs = pairs.unionByName(matched(lead, large))
+        links.append(written(consensus(pairs, least), "links"))
+        if not more:
+            return reduce(DataFrame.union, links).distinct()
+        own = lead.select("key", "image_id").distinct()
+        told = own.join(links[-1], F.col("image_id") == F.col("a")).select("key", F.col("b").alias("image_id"))
+        rest = counted(large.join(own.union(told).distinct(), ["key", "image_id"], "left_anti").select("key", "image_id", *place))
 
 
 def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", **options) -> DataFrame:
@@ -227,21 +256,22 @@ def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "
     repeats is one image. Other columns play no part; an empty table gives no
     rows.
     """
-    held = written(images.select(images[id_col].cast("long").alias("image_id"), images[image_col].alias("image")), "images")
-    classes = held.filter("image is not null").groupBy(F.sha2("image", 256).alias("digest")).agg(F.min("image_id").alias("class"), F.count("*").alias("size"))
-    first = held.join(classes.select(F.col("class").alias("image_id")).distinct(), "image_id", "left_semi").dropDuplicates(["image_id"])
-    links = written(image_links(written(descriptors(first), "descriptors"), **options), "links")
+    held = written(described(images, id_col, image_col), "images")
+    classes = held.filter("digest is not null").groupBy("digest").agg(F.min("image_id").alias("class"))
+    first = held.join(classes.select("digest", F.col("class").alias("image_id")), ["digest", "image_id"], "left_semi").dropDuplicates(["image_id"])
+    corners = first.select("image_id", F.explode("corners").alias("c")).select("image_id", "c.*")
+    links = written(image_links(corners, classes.count(), **options), "links")
     found = components(links, "a", "b")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     labelled = classes.join(found.join(degree, "node"), F.col("class") == F.col("node"), "left").select("digest", F.coalesce("component", "class").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     salted = labelled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = held.select("image_id", F.sha2("image", 256).alias("digest"), F.pmod(F.xxhash64("image_id"), F.lit(16)).cast("int").alias("salt"))
+    rows = held.select("image_id", "digest", F.pmod(F.xxhash64("image_id"), F.lit(16)).cast("int").alias("salt"))
     joined = rows.join(salted, ["digest", "salt"], "left")
     return joined.select("image_id", F.coalesce("component_id", "image_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-def rendered(vectors: DataFrame, id_col: str, vector_col: str, size: int = 64) -> DataFrame:
-    """Each vector as a grey PGM image: its values are cosine coefficients, from the fourth wave on. Null or empty vectors give null."""
+def rendered(vectors: DataFrame, id_col: str, vector_col: str, size: int = 80) -> DataFrame:
+    """Each vector as a grey PGM image: its values are cosine coefficients, from the eighth wave on. Null or empty vectors give null."""
 
     def run(batches):
         for batch in batches:
@@ -253,9 +283,9 @@ def rendered(vectors: DataFrame, id_col: str, vector_col: str, size: int = 64) -
                 side = int(np.ceil(np.sqrt(len(v))))
                 k = np.zeros(side * side)
                 k[: len(v)] = [x or 0.0 for x in v]
-                wave = np.cos(np.pi * np.arange(4, side + 4)[:, None] * (np.arange(size) + 0.5)[None, :] / size)
+                wave = np.cos(np.pi * np.arange(8, side + 8)[:, None] * (np.arange(size) + 0.5)[None, :] / size)
                 a = wave.T @ k.reshape(side, side) @ wave
                 out.append(encode_pgm(np.clip(128 + 40 * a / max(a.std(), 1e-9), 0, 255)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
 
-    return vectors.select(vectors[id_col].cast("long").alias("image_id"), vectors[vector_col].alias("v")).mapInArrow(run, "image_id long, image binary")
+    return vectors.select(vectors[id_col].cast("long").alias("image_id"), vectors[vector_col].alias("v")).mapInArrow(lean(run), "image_id long, image binary")
