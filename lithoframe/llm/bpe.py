@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lithoframe.llm.common import keyed_text
-from lithoframe.llm.encoder import in_groups
+from lithoframe.llm.common import keyed_text, lean
+from lithoframe.llm.encoder import encode_each, in_groups
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -184,7 +184,7 @@ def coder(path: str, pattern: str) -> BytePairCoder:
 def _encoded(use: BytePairCoder, batches, block_chars: int):
     for batch in batches:
         for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(use.encode(texts), pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(encode_each(use.encode, texts), pa.binary())], ["doc_id", "ids"])
 
 
 def _decoded(use: BytePairCoder, batches):
@@ -209,12 +209,12 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     are replayed for blocks of about ``block_chars`` characters, or one text.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    return keyed_text(df, id_col, text_col).mapInArrow(lambda b: _encoded(coder(path, pattern), b, block_chars), "doc_id long, ids binary")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(lambda b: _encoded(coder(path, pattern), b, block_chars)), "doc_id long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded`` (binary) for what ``bpe_encode`` gives; null ids decode to nothing."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(coder(path, pattern), b), "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(lambda b: _decoded(coder(path, pattern), b)), "doc_id long, ids binary, decoded binary")
 
 
 def bpe_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 3 << 20) -> DataFrame:
@@ -225,4 +225,4 @@ def bpe_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         use = coder(path, pattern)
         yield from _digested(_decoded(use, _encoded(use, batches, block_chars)))
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

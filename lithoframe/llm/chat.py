@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import written
+from lithoframe.llm.common import lean, written
 
 MARKS = ("[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE:", "[/ROLE]", "<s>", "</s>")
 _MARK = re.compile("|".join(map(re.escape, MARKS)))
@@ -147,7 +147,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
         yield from _batches(messages(), schema)
 
-    return keyed.mapInArrow(run, "conv_id long, message long, part long, role string, text string")
+    return keyed.mapInArrow(lean(run), "conv_id long, message long, part long, role string, text string")
 
 
 def render(messages: DataFrame, segment_chars: int = 1 << 20, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -180,7 +180,7 @@ def render(messages: DataFrame, segment_chars: int = 1 << 20, trained_roles: tup
 
         yield from _batches(segments(), schema)
 
-    return ordered.mapInArrow(run, "conv_id long, segment long, formatted string, loss_starts array<long>, loss_ends array<long>")
+    return ordered.mapInArrow(lean(run), "conv_id long, segment long, formatted string, loss_starts array<long>, loss_ends array<long>")
 
 
 def format_chats(conversations: DataFrame, segment_chars: int = 1 << 20) -> DataFrame:
@@ -222,7 +222,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
         yield from _batches(digests(), schema)
 
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _ESCAPED_SQL = r"regexp_replace(replace(coalesce(text, ''), '\', '\\'), '(\[/?INST\]|\[/?SYS\]|\[ROLE:|\[/ROLE\]|</?s>)', '\\\1', 'g')"

@@ -1,9 +1,10 @@
-"""Whole-text encoding with the ``tokenizers`` library, one library call per distinct word run.
+"""Whole-text encoding with the ``tokenizers`` library, each distinct word run encoded once.
 
-A text is split before each space that a printable character follows. The
-byte-level pre-tokenizer always ends a token there, so runs encode alone as
-they do in the text, and most runs repeat. A text with any other kind of space
-is encoded whole.
+A text is split before each space and each line end that stands alone between
+printable characters. The byte-level pre-tokenizer always ends a token there,
+so runs encode alone as they do in the text, and most runs repeat. New runs are
+encoded many at a time, with line ends between them. A text with any other
+white space is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,11 +12,21 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
+
+def printable(c: str) -> bool:
+    return "!" <= c <= "~" or c.isalnum()
+
 
 class TextEncoder:
-    """Texts to ids, as bytes of little-endian unsigned 32-bit integers. Holds at most ``max_known`` runs."""
+    """Texts to ids, as bytes of little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, max_known: int = 400_000, longest_known: int = 64):
+    Runs are kept in two generations of about ``max_known``: a full one becomes
+    the old one, from which runs that are met again move up.
+    """
+
+    def __init__(self, path: str, max_known: int = 400_000, longest_known: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -24,29 +35,74 @@ class TextEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.max_known, self.longest_known = max_known, longest_known
         self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.marks = {c: self.library([c])[0] for c in "\n.,"}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def runs(self, runs: list[str], at_once: int = 512) -> list[bytes]:
+        """Ids of runs without line ends."""
+        end = int.from_bytes(self.marks["\n"], "little")
+        out: list[bytes] = []
+        for ids in self.library(["\n".join(runs[i : i + at_once]) for i in range(0, len(runs), at_once)]):
+            cuts = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == end)).tolist()
+            out += [ids[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(ids)], strict=True)]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Runs follow a space, or start with the line end that they follow. Others get None: their white space is part of something longer."""
+        known, marks = self.known, self.marks
+        bare, lines, ended = set(), [], []
+        for w in new:
+            if w[:1] == "\n":
+                if len(w) > 1 and printable(w[1]) and printable(w[-1]):
+                    lines.append(w)
+                else:
+                    known[w] = None
+            elif not w or not printable(w[0]) or not printable(w[-1]):
+                known[w] = None
+            elif w[-1] in ".," and w[-2:-1].isalpha():
+                ended.append(w)
+                bare.add(w[:-1])
+            else:
+                bare.add(w)
+        plain = [w for w in bare if w not in known]
+        known.update(zip(plain, self.runs([" " + w for w in plain]), strict=True))
+        known.update(zip(lines, [marks["\n"] + ids for ids in self.runs([w[1:] for w in lines])], strict=True))
+        for w in ended:
+            known[w] = known[w[:-1]] + marks[w[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.max_known:
-            self.known.clear()
-        known = self.known
-        split = [t.split(" ") for t in texts]
-        heads = self.library([p[0] for p in split])
-        new = {w for p in split for w in p[1:] if w not in known}
-        # A run that does not start with a printable character may belong to the white space before it.
-        plain = [w for w in new if w and ("!" <= w[0] <= "~" or w[0].isalnum())]
-        known.update(dict.fromkeys(new))
-        known.update(zip(plain, self.library([" " + w for w in plain]), strict=True))
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        last = ["\n" if t[-1:] == "\n" else "" for t in texts]
+        split = [(t[: len(t) - len(e)]).replace("\n", " \n").split(" ") for t, e in zip(texts, last, strict=True)]
+        # A space before a line end would be lost in the splitting; so would one before what the text ends with.
+        odd = [" \n" in t or bool(p[0] and not printable(p[0][-1])) or bool(e and not p[-1]) for t, p, e in zip(texts, split, last, strict=True)]
+        heads = self.library([p.pop(0) for p in split])
+        new = []
+        for w in set().union(*split):
+            if w not in known:
+                found = old.get(w, 0)
+                if found == 0:
+                    new.append(w)
+                else:
+                    known[w] = found
+        self.learn(new)
         out: list[bytes] = []
         whole: list[int] = []
         for i, p in enumerate(split):
+            ids = b""
             try:
-                out.append(heads[i] + b"".join([known[w] for w in p[1:]]))
+                if not odd[i]:
+                    ids = heads[i] + b"".join(map(known.__getitem__, p)) + (self.marks["\n"] if last[i] else b"")
             except TypeError:
-                out.append(b"")
+                odd[i] = True
+            if odd[i]:
                 whole.append(i)
+            out.append(ids)
         for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         for w in new:
@@ -55,6 +111,38 @@ class TextEncoder:
         return out
 
 
+def cut_text(text: str, most: int = 1 << 20) -> list[str]:
+    """A long text in parts of about ``most`` characters, cut before spaces between ASCII letters, where a token always ends; whole if there are none."""
+    parts, at = [], 0
+    while len(text) - at > most:
+        cut = text.find(" ", at + most)
+        while cut > 0 and not (cut + 1 < len(text) and text[cut - 1].isascii() and text[cut - 1].isalpha() and text[cut + 1].isascii() and text[cut + 1].isalpha()):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        parts.append(text[at:cut])
+        at = cut
+    return [*parts, text[at:]]
+
+
+def encode_each(encode, texts: list[str]) -> list[bytes]:
+    """Ids of texts, long ones part by part."""
+    if all(len(t) <= 1 << 20 for t in texts):
+        return encode(texts)
+    return [b"".join([encode([p])[0] for p in cut_text(t)]) for t in texts]
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """This process's encoder for a tokenizer file; later tasks of a worker use what it knows."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
+
+
 def in_groups(ids: list, texts: list[str | None], chars: int = 1 << 20):
     """Consecutive (ids, texts) groups of about ``chars`` characters, so that work on long texts stays small. Null texts are empty."""
     at, total = 0, 0

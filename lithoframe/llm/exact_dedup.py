@@ -69,7 +69,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Texts are equal when identical, with no normalisation; of equal texts the
     row with the largest id stays. A null text counts as empty, and all empty
     texts are one group. Ids are taken to be unique; rows that repeat an id
-    each count and each are returned. Further columns of ``df`` play no part.
+    each count and each are returned; a NULL id ranks below all others. Further columns of ``df`` play no part.
     An empty table gives an empty result.
 
     A group may hold any share of the rows: its members are counted with
@@ -82,4 +82,4 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = made.withColumn("salt", salt_of("doc_id", salts)).join(groups, ["recipe", "salt"], "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (keep == F.col("doc_id")).alias("kept"), "text_sha256")
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")

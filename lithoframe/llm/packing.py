@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import keyed_text, written
-from lithoframe.llm.encoder import TextEncoder, in_groups
+from lithoframe.llm.common import keyed_text, lean, written
+from lithoframe.llm.encoder import encode_each, encoder, in_groups
 
 
 @dataclass
@@ -111,14 +111,14 @@ def encode_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
     def encode(batches):
-        coder, part = TextEncoder(tokenizer_path), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         kind = "<u2" if max(coder.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
         seen = np.zeros(longest + 1, np.int64)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
             for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key, got in zip(keys, coder.encode(texts), strict=True):
+                for key, got in zip(keys, encode_each(coder.encode, texts), strict=True):
                     ids = np.frombuffer(got + end, "<u4").astype(kind)
                     for piece, (start, length) in enumerate(cut(len(ids), longest)):
                         rows.append((key, piece, start, length, part, int(seen[length]), ids[start : start + length].tobytes()))
@@ -126,18 +126,20 @@ def encode_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "part", "local_rank", "ids"])
 
-    made = keyed_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, piece int, start long, length long, part long, local_rank long, ids binary")
+    made = keyed_text(df, id_col, text_col).mapInArrow(lean(encode), "doc_id long, piece int, start long, length long, part long, local_rank long, ids binary")
     return written(made, "pieces")
 
 
-def best_fit(items: DataFrame, capacity: int = 2048, **constraints) -> DataFrame:
+def best_fit(items: DataFrame, capacity: int = 2048, sizes: DataFrame | None = None, **constraints) -> DataFrame:
     """``items`` (with ``length, part, local_rank``) plus ``sequence_id`` and ``offset``.
 
     The driver gets one count per length. Offsets of a part's ranks come from
     counts per part and length, joined on both, so no length is a hot key.
+    ``sizes`` has the items' ``part`` and ``length`` where they are cheaper to
+    read than ``items``.
     """
     spark = items.sparkSession
-    counts = items.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = (items if sizes is None else sizes).groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     base = counts.select("part", "length", before.alias("base"))
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -169,7 +171,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "part", "local_rank", "ids_crc32", *(["ids"] if with_ids else [])])
 
     schema = "doc_id long, piece int, start long, length long, part long, local_rank long, ids_crc32 long" + ", ids binary" * with_ids
-    return best_fit(pieces.mapInArrow(digest, schema), capacity, **constraints).drop("part", "local_rank")
+    return best_fit(pieces.mapInArrow(lean(digest), schema), capacity, pieces, **constraints).drop("part", "local_rank")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

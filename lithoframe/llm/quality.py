@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lithoframe.llm.common import keyed_text
+from lithoframe.llm.common import keyed_text, lean
 from lithoframe.llm.labelled import training_rows
 
 STATISTICS = (
@@ -152,4 +152,4 @@ def score_quality(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
             x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double")

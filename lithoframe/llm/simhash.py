@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import keyed_text, salt_of, written
+from lithoframe.llm.common import keyed_text, lean, salt_of, written
 from lithoframe.llm.components import components
 
 HASH_SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = np.array([fingerprint(t or "", width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return keyed_text(df, id_col, text_col).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -103,7 +103,9 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Documents link when their fingerprints differ in ``limit`` bits or fewer.
     Documents with one fingerprint are one node, however many they are. A null
     or empty text, or one of white space only, has fingerprint zero and links
-    like any other. An id that repeats is one document: its rows link. Other
+    like any other. An id that repeats is one document: its rows link. A row
+    without an id gets the component of its fingerprint if others with an id
+    share it, else NULL. Other
     columns play no part; an empty table gives no rows. No pair is capped or
     left out; ``m`` sets the number of segments, which changes only the work.
     """

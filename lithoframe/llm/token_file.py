@@ -24,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import fresh_path, keyed_text, written
-from lithoframe.llm.encoder import TextEncoder, in_groups
+from lithoframe.llm.common import fresh_path, keyed_text, lean, written
+from lithoframe.llm.encoder import encode_each, encoder, in_groups
 
+NO_ID = -(1 << 63)
 MAGIC, VERSION, HEAD = b"LFTK", 1, struct.Struct("<4sHHIQQ")
 
 
@@ -109,7 +110,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """Encode all texts and write them in ascending id order; returns the manifest (``path``, ``part``, ``number``, ``n_docs``, ``n_tokens``).
 
     Null texts are empty and give ``end_id`` alone. Rows that repeat an id are
-    each written. Other columns play no part; an empty table gives no files.
+    each written; those without an id come first, under ``NO_ID``. Other columns play no part; an empty table gives no files.
     A file holds about ``file_ids`` ids, which bounds a task's memory whatever
     its partition holds.
     """
@@ -118,7 +119,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     out = fresh_path(spark, "tokens")
 
     def write(batches):
-        coder = TextEncoder(tokenizer_path)
+        coder = encoder(tokenizer_path)
         width = bit_width(max(coder.vocab_size, end_id + 1))
         fs, base = file_system(out)
         fs.create_dir(base, recursive=True)
@@ -133,8 +134,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
         for batch in batches:
             for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key, got in zip(keys, coder.encode(texts), strict=True):
-                    docs.append(key)
+                for key, got in zip(keys, encode_each(coder.encode, texts), strict=True):
+                    docs.append(NO_ID if key is None else key)
                     ids += (got, end)
                     lengths.append(len(got) // 4 + 1)
                     held += lengths[-1]
@@ -145,7 +146,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             yield flush()
 
     ordered = keyed_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(write, "path string, part long, number long, n_docs long, n_tokens long"), "manifest")
+    return written(ordered.mapInArrow(lean(write), "path string, part long, number long, n_docs long, n_tokens long"), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -172,6 +173,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     ids = tokens.ids(int(first), int(tokens.starts[hi])).astype("<u4")
                     cuts = tokens.starts[lo : hi + 1] - first
                     crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": tokens.doc_ids[lo:hi], "start": tokens.starts[lo:hi] + base, "n_tokens": np.diff(cuts), "ids_crc32": np.array(crc, np.int64)})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(tokens.doc_ids[lo:hi], mask=tokens.doc_ids[lo:hi] == NO_ID), "start": tokens.starts[lo:hi] + base, "n_tokens": np.diff(cuts), "ids_crc32": np.array(crc, np.int64)})
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lithoframe.llm.common import keyed_text
+from lithoframe.llm.common import keyed_text, lean
 from lithoframe.llm.encoder import in_groups
 from lithoframe.llm.labelled import training_rows
 
@@ -221,7 +221,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 0, batch: int
     odds = np.stack([by_word.T, best.T], axis=2)[:FOLDS]
     net.odds = {w: float(v) for w, v in zip(words, by_word[:, FOLDS], strict=True) if v}
     net.gram_odds = {g: float(v) for g, v in zip(grams, by_gram[:, FOLDS], strict=True) if v}
-    flat = np.array([vocab[w] + 1 for d in docs for w in d], np.int64)
+    flat = np.array([vocab[w] + 1 for d in docs for w in d], np.int32)
     index, owner = layout([len(d) for d in docs], flat)
     hashed = net.hashes(words)
     spans = [hashed[1][a:b] for a, b in zip(hashed[2], [*hashed[2][1:], len(hashed[1])], strict=True)]
@@ -276,7 +276,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 0, batch: int
 class Scorer:
     """A trained net with the input part of every word met so far, at most ``max_words``."""
 
-    def __init__(self, net: GatedNet, max_words: int = 300_000):
+    def __init__(self, net: GatedNet, max_words: int = 120_000):
         self.net, self.max_words = net, max_words
         self.clear()
 
@@ -310,7 +310,7 @@ class Scorer:
         return sigmoid(best.astype(np.float64))
 
 
-def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, max_rows: int = 4000, max_chars: int = 20_000, epochs: int = 5) -> GatedNet:
+def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, max_rows: int = 3000, max_chars: int = 8_000, epochs: int = 5) -> GatedNet:
     """Fit on at most ``max_rows`` labelled rows whose text has at most ``max_chars`` characters, outside the held-out fold."""
     return fit(training_rows(documents, labels, label, folds, held_fold, max_rows, max_chars), epochs)
 
@@ -337,7 +337,7 @@ def with_toxicity(df: DataFrame, net: GatedNet, text_col: str = "text", score_co
                 done += len(rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts))], [*batch.schema.names, score_col])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return own.mapInArrow(lean(run), T.StructType([*own.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def score_toxicity(df: DataFrame, net: GatedNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
