@@ -186,17 +186,23 @@ def consensus(pairs: DataFrame, least: int = 3, shift: float = 8.0) -> DataFrame
     ratio = F.col("scale_b") / F.col("scale_a")
     tx = F.col("x_b") - ratio * (F.cos(turn) * F.col("x_a") - F.sin(turn) * F.col("y_a"))
     ty = F.col("y_b") - ratio * (F.sin(turn) * F.col("x_a") + F.cos(turn) * F.col("y_a"))
-    bins = [F.floor(turn / (np.pi / 6)), F.rint(2 * F.log2(ratio)).cast("long"), F.floor(tx / shift), F.floor(ty / shift)]
-    votes = pairs.select("a", "b", F.struct("x_a", "y_a").alias("corner"), *[v.alias(n) for v, n in zip(bins, ("turn", "ratio", "tx", "ty"), strict=True)])
-    both = lambda c: F.array(F.col(c), F.col(c) + 1)
-    votes = votes.withColumn("turn", F.explode(F.array(F.pmod("turn", F.lit(12)), F.pmod(F.col("turn") + 1, F.lit(12))))).withColumn("tx", F.explode(both("tx"))).withColumn("ty", F.explode(both("ty")))
+    low = lambda c, bits: c.cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+    packed = F.lit(0).cast("long")
+    for value, bits in ((F.floor(turn / (np.pi / 6)), 4), (F.rint(2 * F.log2(ratio)), 4), (F.floor(tx / shift), 16), (F.floor(ty / shift), 16), (F.xxhash64("x_a", "y_a"), 24)):
+        packed = F.shiftleft(packed, bits).bitwiseOR(low(value, bits))
+    # Most pairs match by chance, once; they leave before the votes are counted.
+    votes = pairs.select("a", "b", packed.alias("v")).groupBy("a", "b").agg(F.collect_set("v").alias("v")).filter(F.size("v") >= least)
+    part = lambda at, bits: low(F.shiftrightunsigned("v", at), bits)
+    votes = votes.withColumn("v", F.explode("v")).select("a", "b", part(60, 4).alias("turn"), part(56, 4).alias("ratio"), part(40, 16).alias("tx"), part(24, 16).alias("ty"), part(0, 24).alias("corner"))
+    for name, size in (("turn", 12), ("tx", 1 << 16), ("ty", 1 << 16)):
+        votes = votes.withColumn(name, F.explode(F.array(F.col(name), (F.col(name) + 1) % size)))
     agreed = votes.distinct().groupBy("a", "b", "turn", "ratio", "tx", "ty").agg(F.count("*").alias("n"))
     return agreed.filter(F.col("n") >= least).select("a", "b").distinct()
 
 
 def table_bits(n: int, base: int = 40, at: int = 1024) -> int:
-    """Bits of a table's part: ``base`` up to ``at`` images, then one more for each doubling."""
-    return base + max(0, (max(n, 1) - 1) // at).bit_length()
+    """Bits of a table's part: ``base`` up to ``at`` images, then three more for each doubling, as neighbouring bits depend on each other."""
+    return base + 3 * ((max(n, 1) - 1) // at).bit_length()
 
 
 def _part(start: int, bits: int) -> Column:
