@@ -167,8 +167,8 @@ def _ties(rank: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
 
 
-def doubling(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a text in memory, by its first ``depth`` symbols at least."""
+def doubling(names: np.ndarray, depth: int, places: np.ndarray | None = None, reach: int = 0) -> np.ndarray:
+    """Order of the suffixes of a text in memory, by its first ``depth`` symbols at least, or as many as span ``reach`` in ``places``."""
     n = len(names)
     rank = np.zeros(n, np.int64)
     if n:
@@ -176,6 +176,8 @@ def doubling(names: np.ndarray, depth: int) -> np.ndarray:
     k = 1
     while k < min(depth, n):
         rows = _ties(rank)
+        if places is not None:  # what agrees so far spans enough where the next name after it starts that far on
+            rows = rows[(rows + k >= n) | (places[np.minimum(rows + k, n - 1)] - places[rows] < reach)]
         if not len(rows):
             break
         key = np.full(len(rows), -1, np.int64)
@@ -192,6 +194,10 @@ def _name_stars(text: np.ndarray, rises: np.ndarray, stars: np.ndarray) -> np.nd
     lengths = np.diff(np.concatenate([stars, [n - 1]])) + 1
     rank = np.zeros(len(stars), np.int64)
     bits = (2 * int(text.max(initial=0)) + 3).bit_length()
+    codes = text.astype(np.uint16 if bits <= 16 else np.int64)
+    codes *= 2
+    codes += rises
+    codes += 1
     rows, step = np.arange(len(stars)), 0
     while len(rows):
         if step:
@@ -204,9 +210,8 @@ def _name_stars(text: np.ndarray, rises: np.ndarray, stars: np.ndarray) -> np.nd
         key = np.zeros(len(rows), np.int64)
         begin, left = stars[rows] + step, lengths[rows] - step
         for t in range(take):
-            at = np.minimum(begin + t, n - 1)
-            code = text[at].astype(np.int64) * 2 + rises[at] + 1
-            key = (key << bits) + np.where(t < left, code, 0)
+            key <<= bits
+            key += codes[np.minimum(begin + t, n - 1)] * (t < left)
         step += take
         _refine(rank, rows, key)
         rows = rows[left > take]
@@ -278,7 +283,7 @@ def _induced(text, depth, memory, in_memory, folder, lcp) -> Iterator[tuple[np.n
             inner = tempfile.mkdtemp(dir=folder)
             order = np.concatenate([p for p, _ in _induced(names, below, memory, in_memory, inner, False)])[::-1]
         else:
-            order = doubling(rank, below)
+            order = doubling(rank, below, stars, depth)
     else:
         order = np.argsort(rank)
     kind = np.int32 if n < 1 << 31 else np.int64
@@ -350,7 +355,7 @@ def least_owner(strings: list[bytes], owners: np.ndarray, width: int, **sizes) -
     counts = np.maximum(lengths - width + 1, 0)
     first = np.cumsum(counts) - counts
     # Of each position: the window that starts there, or -1, and its owner.
-    window = np.full(len(text), -1, np.int64)
+    window = np.full(len(text), -1, np.int32 if len(text) < 1 << 31 else np.int64)
     flat = np.repeat(starts - first, counts) + np.arange(int(counts.sum()))
     window[flat] = np.arange(len(flat))
     owner = np.repeat(owners, counts)
