@@ -213,7 +213,7 @@ def _part(start: int, bits: int) -> Column:
     return F.shiftrightunsigned(word, 64 - bits)
 
 
-def image_links(found: DataFrame, n: int, most: int = 128, leaders: int = 16, bits: int = 24, least: int = 3) -> DataFrame:
+def image_links(found: DataFrame, n: int, most: int = 48, leaders: int = 6, bits: int = 24, least: int = 3) -> DataFrame:
     """Links among ``n`` images by their descriptors.
 
     A bucket of the Hamming tables with at most ``most`` corners is compared
