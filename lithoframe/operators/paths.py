@@ -180,6 +180,6 @@ def spectrum_features(h: DataFrame, key: str = "well", order: str = "row_idx") -
     return _per_well(h, None, run, f"{key} {dict(h.dtypes)[key]}, fft_freq double, fft_log_power double", key, order)
 
 
-def typewell_of(t: DataFrame, wells: list[str], key: str = "well") -> DataFrame:
-    """One shared typewell given to each of a few named wells."""
-    return t.withColumn(key, F.explode(F.array(*map(F.lit, wells))))
+def typewell_of(t: DataFrame, wells: DataFrame) -> DataFrame:
+    """One shared typewell given to each of ``wells``, a column of distinct names; its rows for each, as each well's task reads all of them."""
+    return t.crossJoin(wells)

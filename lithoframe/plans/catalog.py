@@ -333,13 +333,14 @@ add("keep_best", lambda s, d: s.createDataFrame([(_weights(s, d, blend.keep_best
 
 
 def _own_typewells(s, d):
-    names = sorted(r[0] for r in well_ev(s, d).select("well").distinct().limit(64).collect())
-    return paths.typewell_of(typewell(s, d).filter("TVT <= 11000").select("TVT", (F.col("GR") % 97).alias("GR")), names)
+    """The shared typewell for every well."""
+    names = well_ev(s, d).select("well").distinct()
+    return paths.typewell_of(typewell(s, d).select("TVT", (F.col("GR") % 97).alias("GR")), names)
 
 
-add("beam_path", lambda s, d: paths.beam_features(_shifted(s, d).filter("row_idx < 600"), _own_typewells(s, d), paths.BEAMS[:2]))
-add("particle_path", lambda s, d: paths.particle_features(_shifted(s, d).filter("row_idx < 600"), _own_typewells(s, d), n=100))
-add("particle_path_s", lambda s, d: paths.particle_features(_shifted(s, d).filter("row_idx < 600"), _own_typewells(s, d), on="s", n=100))
+add("beam_path", lambda s, d: paths.beam_features(_shifted(s, d), _own_typewells(s, d)))
+add("particle_path", lambda s, d: paths.particle_features(_shifted(s, d), _own_typewells(s, d)))
+add("particle_path_s", lambda s, d: paths.particle_features(_shifted(s, d), _own_typewells(s, d), on="s"))
 add("self_ncc", lambda s, d: paths.self_match_features(well_ev(s, d)))
 add("spectrum", lambda s, d: paths.spectrum_features(well_user(s, d)))
 
