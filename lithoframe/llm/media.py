@@ -3,8 +3,7 @@
 A corner is a local maximum of the Harris response at one of several scales.
 The patch around it is turned to its intensity centroid, and 128 comparisons of
 smoothed intensities make its descriptor. Descriptors that agree in one of six
-overlapping parts are compared in full; a part has more bits the more images
-there are, so that as many meet by chance; pairs of images then need several corners
+overlapping parts are compared in full; pairs of images then need several corners
 that agree on one turn, scale and shift. Links make components.
 
 An image that is cropped, turned, rescaled a little, brightened or drawn over
@@ -19,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.llm.common import lean, written
@@ -205,52 +204,40 @@ def table_bits(n: int, base: int = 40, at: int = 1024) -> int:
     return base + 3 * ((max(n, 1) - 1) // at).bit_length()
 
 
-def _part(start: int, bits: int) -> Column:
+def _part(start: int, bits: int, first: Column | str = "d0", second: Column | str = "d1") -> Column:
     """``bits`` of the 128, from ``start``, going on at the front after the end."""
-    high, low = (F.col("d0"), F.col("d1")) if start < 64 else (F.col("d1"), F.col("d0"))
+    words = [F.col(w) if isinstance(w, str) else w for w in (first, second)]
+    high, low = words if start < 64 else words[::-1]
     r = start % 64
     word = high if not r else F.shiftleft(high, r).bitwiseOR(F.shiftrightunsigned(low, 64 - r))
     return F.shiftrightunsigned(word, 64 - bits)
 
 
-def image_links(found: DataFrame, n: int, most: int = 48, leaders: int = 6, bits: int = 24, least: int = 3) -> DataFrame:
-    """Links among ``n`` images by their descriptors.
+def matches(found: DataFrame, most: int = 512, bits: int = 24, width: int = 40) -> DataFrame:
+    """Pairs of corners of two images that agree in a part of ``width`` bits and differ in at most ``bits``, each pair once.
 
-    A bucket of the Hamming tables with at most ``most`` corners is compared
-    within itself. A larger one is compared with the corners of its least
-    images, ``leaders`` of them a round: each time, these and the images that
-    are linked to one of them leave, and the rest go on, until all buckets are
-    small. So a large group of copies costs its size, not its square, and no
-    corner is left out because its bucket is large.
+    All corners of a bucket are compared with all others, whatever its size; a
+    bucket of more than ``most`` corners is cut into blocks, and each pair of
+    blocks is one key of the join. A pair is made in the first table it shares.
     """
-    width = min(64, table_bits(n))
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), _part(BITS * t // TABLES, width).alias("part")) for t in range(TABLES)]))
-    place = PLACE
-    side = lambda d, s: d.select("key", F.col("image_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in place])
-
-    def counted(d: DataFrame) -> DataFrame:
-        counts = d.groupBy("key").agg(F.count("*").alias("n"), F.min("image_id").alias("first"), F.max("image_id").alias("other")).filter("first < other")
-        return written(d.join(counts, "key").select("key", "image_id", *place, "n"), "corners")
-
-    def matched(a: DataFrame, b: DataFrame) -> DataFrame:
-        near = F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))) + F.bit_count(F.col("d1_a").bitwiseXOR(F.col("d1_b"))) <= bits
-        return side(a, "a").join(side(b, "b"), "key").filter((F.col("a") < F.col("b")) & near)
-
-    rest, links = counted(found.withColumn("key", keys)), []
-    while True:
-        small, large = rest.filter(F.col("n") <= most), rest.filter(F.col("n") > most)
-        more = not large.isEmpty()
-        pairs = matched(small, small)
-        if more:
-            rank = F.dense_rank().over(Window.partitionBy("key").orderBy("image_id"))
-            lead = written(large.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", "image_id", *place), "leaders")
-            pairs = pairs.unionByName(matched(lead, large))
-        links.append(written(consensus(pairs, least), "links"))
-        if not more:
-            return reduce(DataFrame.union, links).distinct()
-        own = lead.select("key", "image_id").distinct()
-        told = own.join(links[-1], F.col("image_id") == F.col("a")).select("key", F.col("b").alias("image_id"))
-        rest = counted(large.join(own.union(told).distinct(), ["key", "image_id"], "left_anti").select("key", "image_id", *place))
+    starts = [BITS * t // TABLES for t in range(TABLES)]
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), _part(at, width).alias("part")) for t, at in enumerate(starts)]))
+    keyed = found.withColumn("key", keys)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("image_id").alias("first"), F.max("image_id").alias("other")).filter("first < other")
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    block = F.pmod(F.xxhash64("image_id", "x", "y", "scale"), blocks).cast("int")
+    held = written(keyed.join(counts, "key").select("key", "image_id", *PLACE, blocks.alias("blocks"), block.alias("block")), "corners")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda s, own, others: held.select("key", F.col("block").alias(own), every.alias(others), F.col("image_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in PLACE])
+    x0, x1 = F.col("d0_a").bitwiseXOR(F.col("d0_b")), F.col("d1_a").bitwiseXOR(F.col("d1_b"))
+    before = reduce(Column.__or__, [(F.col("key")["table"] > t) & (_part(at, width, x0, x1) == 0) for t, at in enumerate(starts[:-1])])
+    near = (F.bit_count(x0) + F.bit_count(x1) <= bits) & ~before
+    return side("a", "i", "j").join(side("b", "j", "i"), ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & near)
+
+
+def image_links(found: DataFrame, most: int = 512, leaders: int | None = None, bits: int = 24, least: int = 3, width: int = 40) -> DataFrame:
+    """Links among images by their descriptors, from one consensus over all matches; ``leaders`` is taken for older callers and changes nothing."""
+    return consensus(matches(found, most, bits, width), least)
 
 
 def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", **options) -> DataFrame:
@@ -266,7 +253,7 @@ def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "
     classes = held.filter("digest is not null").groupBy("digest").agg(F.min("image_id").alias("class"))
     first = held.join(classes.select("digest", F.col("class").alias("image_id")), ["digest", "image_id"], "left_semi").dropDuplicates(["image_id"])
     corners = first.select("image_id", F.explode("corners").alias("c")).select("image_id", "c.*")
-    links = written(image_links(corners, classes.count(), **options), "links")
+    links = written(image_links(corners, **{"width": min(64, table_bits(classes.count()))} | options), "links")
     found = components(links, "a", "b")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     labelled = classes.join(found.join(degree, "node"), F.col("class") == F.col("node"), "left").select("digest", F.coalesce("component", "class").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
