@@ -199,11 +199,6 @@ def consensus(pairs: DataFrame, least: int = 3, shift: float = 8.0) -> DataFrame
     return agreed.filter(F.col("n") >= least).select("a", "b").distinct()
 
 
-def table_bits(n: int, base: int = 40, at: int = 1024) -> int:
-    """Bits of a table's part: ``base`` up to ``at`` images, then three more for each doubling, as neighbouring bits depend on each other."""
-    return base + 3 * ((max(n, 1) - 1) // at).bit_length()
-
-
 def _part(start: int, bits: int, first: Column | str = "d0", second: Column | str = "d1") -> Column:
     """``bits`` of the 128, from ``start``, going on at the front after the end."""
     words = [F.col(w) if isinstance(w, str) else w for w in (first, second)]
@@ -253,7 +248,7 @@ def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "
     classes = held.filter("digest is not null").groupBy("digest").agg(F.min("image_id").alias("class"))
     first = held.join(classes.select("digest", F.col("class").alias("image_id")), ["digest", "image_id"], "left_semi").dropDuplicates(["image_id"])
     corners = first.select("image_id", F.explode("corners").alias("c")).select("image_id", "c.*")
-    links = written(image_links(corners, **{"width": min(64, table_bits(classes.count()))} | options), "links")
+    links = written(image_links(corners, **options), "links")
     found = components(links, "a", "b")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     labelled = classes.join(found.join(degree, "node"), F.col("class") == F.col("node"), "left").select("digest", F.coalesce("component", "class").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))

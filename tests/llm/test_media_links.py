@@ -37,3 +37,15 @@ def test_matches_are_those_of_all_pairs(spark):
     for most in (5, 512):
         got = media.matches(spark.createDataFrame(rows, SCHEMA), most).select("x_a", "x_b").collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want and want
+
+
+def test_link_does_not_depend_on_the_number_of_images(spark):
+    """Two images agree in 40 bits of each of 3 corners, alone and among 3000 others."""
+    rng = np.random.default_rng(3)
+    pair = []
+    for k in range(3):
+        a, b = words(rng)
+        pair += [(1, 9.0 * k, 5.0 * k, 1.0, 0.0, a, b), (2, 9.0 * k, 5.0 * k, 1.0, 0.0, a ^ (0b1000001 << 17), b ^ (1 << 42 | 1 << 20 | 1))]
+    others = [(10 + i, 1.0, 1.0, 1.0, 0.0, *words(rng)) for i in range(3000)]
+    for rows in (pair, pair + others):
+        assert [(r.a, r.b) for r in media.image_links(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 2)]
