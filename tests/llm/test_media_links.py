@@ -49,3 +49,12 @@ def test_link_does_not_depend_on_the_number_of_images(spark):
     others = [(10 + i, 1.0, 1.0, 1.0, 0.0, *words(rng)) for i in range(3000)]
     for rows in (pair, pair + others):
         assert [(r.a, r.b) for r in media.image_links(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 2)]
+
+
+def test_votes_of_small_and_large_buckets_count_together(spark):
+    """Two images share two corners of their own and one that 80 images have."""
+    rng = np.random.default_rng(4)
+    logo, own = words(rng), [words(rng), words(rng)]
+    rows = [(i, 30.0, 40.0, 1.0, 0.0, *logo) for i in range(80)]
+    rows += [(i, 50.0 + 9 * k, 60.0, 1.0, 0.0, *o) for i in (78, 79) for k, o in enumerate(own)]
+    assert [(r.a, r.b) for r in media.image_links(spark.createDataFrame(rows, SCHEMA)).collect()] == [(78, 79)]
