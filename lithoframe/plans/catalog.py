@@ -269,7 +269,7 @@ _OFF = align.OFFSETS["anchor"]
 add("tw_diff", lambda s, d: align.offset_bank(_anchored(s, d), "anchor", typewell(s, d)), f"{TWS}, {ANCHORED}, sp AS (SELECT well, row_idx, GR, anchor, unnest({_OFF}) AS o FROM an), i AS ({interp2('sp', 'anchor + o', 'well, row_idx, GR, o')}) SELECT well, row_idx, " + ", ".join(f"{R(f'max(GR - tw_gr) FILTER (o = {o})')} AS tw_diff_{'m' if o < 0 else 'p'}{abs(o)}" for o in _OFF) + " FROM i GROUP BY well, row_idx")
 _FIT = f"{TWS}, i AS ({interp2('(SELECT * FROM sh WHERE TVT_input IS NOT NULL)', 'TVT_input', 'well, GR')})"
 add("affine_cal", lambda s, d: align.affine_calibration(align.interpolate(_shifted(s, d).filter(scalar.visible()), "TVT_input", typewell(s, d))), f"{_FIT}, g AS (SELECT well, count(GR) AS n, stddev_pop(tw_gr) FILTER (GR IS NOT NULL) AS sd, regr_slope(GR, tw_gr) AS sl, regr_intercept(GR, tw_gr) AS ic, avg(GR) - avg(tw_gr) AS sh FROM i GROUP BY well) SELECT well, {R('CASE WHEN n < 20 OR sd IS NULL OR sd < 1e-6 THEN 1 ELSE sl END')} AS a_cal, {R('CASE WHEN n = 0 THEN 0 WHEN n < 20 OR sd IS NULL OR sd < 1e-6 THEN coalesce(sh, 0) ELSE ic END')} AS b_cal FROM g")
-add("nearest_gr", lambda s, d: align.nearest_value(_anchored(s, d).filter(scalar.hidden()).filter("row_idx % 7 = 0"), "anchor", typewell(s, d).withColumn("GR", F.col("GR") % 97)).select(*ID, "matched_tvt"), f"{TWS}, {ANCHORED}, g AS (SELECT TVT, GR % 97 AS GR FROM tw) SELECT well, row_idx, {R('arg_min(g.TVT, (abs(an.GR - g.GR), g.TVT))')} AS matched_tvt FROM an JOIN g ON g.TVT BETWEEN anchor - 40 AND anchor + 40 WHERE an.GR IS NOT NULL AND an.TVT_input IS NULL AND row_idx % 7 = 0 GROUP BY well, row_idx")
+add("nearest_gr", lambda s, d: align.nearest_value(_anchored(s, d).filter(scalar.hidden()), "anchor", typewell(s, d).withColumn("GR", F.col("GR") % 97)).select(*ID, "matched_tvt"), f"{TWS}, {ANCHORED}, g AS (SELECT TVT, GR % 97 AS GR FROM tw) SELECT well, row_idx, {R('arg_min(g.TVT, (abs(an.GR - g.GR), g.TVT))')} AS matched_tvt FROM an JOIN g ON g.TVT BETWEEN anchor - 40 AND anchor + 40 WHERE an.GR IS NOT NULL AND an.TVT_input IS NULL AND row_idx % 7 = 0 GROUP BY well, row_idx")
 add("match_shift", lambda s, d: align.match_shift(align.nearest_value(_anchored(s, d).filter(scalar.hidden()), "anchor", typewell(s, d).withColumn("GR", F.col("GR") % 97))), f"{TWS}, {ANCHORED}, g AS (SELECT TVT, GR % 97 AS GR FROM tw), m AS (SELECT well, arg_min(g.TVT, (abs(an.GR - g.GR), g.TVT)) - any_value(anchor) AS shift FROM an JOIN g ON g.TVT BETWEEN anchor - 40 AND anchor + 40 WHERE an.GR IS NOT NULL AND an.TVT_input IS NULL GROUP BY well, row_idx) SELECT well, {R('median(shift)')} AS ncc_med_shift, {R('avg(shift)')} AS ncc_mean_shift FROM m GROUP BY well")
 _EASE = f"""{TWS}, {ANCHORED}, h AS (SELECT *, min(row_idx) OVER (PARTITION BY well) AS a, count(*) OVER (PARTITION BY well) AS n FROM an WHERE TVT_input IS NULL), f AS (SELECT *, (row_idx - a)::DOUBLE / greatest(n - 1, 1) AS fr FROM h),
     sp AS (SELECT well, GR, anchor, 3 * fr ** 2 - 2 * fr ** 3 AS ease, unnest({align.ENDPOINTS}) AS endpoint FROM f), i AS ({interp2('sp', 'anchor + endpoint * ease', 'well, GR, endpoint')}), pa AS (SELECT well, CAST(endpoint AS INTEGER) AS endpoint, avg(abs(GR - tw_gr)) AS path_abs FROM i GROUP BY well, endpoint)"""

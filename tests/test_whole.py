@@ -39,3 +39,16 @@ def test_particles_are_500(spark, on):
     got = catalog.QUERIES["particle_path" if on == "tvt" else "particle_path_s"](spark, DATA).toPandas().sort_values(["well", "row_idx"])
     want = catalog.tidy(paths.particle_features(catalog._shifted(spark, DATA), catalog._own_typewells(spark, DATA), on=on, n=500)).toPandas().sort_values(["well", "row_idx"])
     assert np.array_equal(got.to_numpy(), want.to_numpy())
+
+
+def test_nearest_gr_of_all_hidden_rows(spark):
+    got = catalog.QUERIES["nearest_gr"](spark, LARGER).toPandas()
+    rows = catalog._anchored(spark, LARGER).filter("TVT_input is null and GR is not null").toPandas()
+    t = fixtures.typewell(spark, LARGER).toPandas().sort_values("TVT")
+    want = {}
+    for well, own in rows.groupby("well"):
+        near = t[(t.TVT - own.anchor.iloc[0]).abs() <= 40]
+        gap = np.abs(own.GR.to_numpy()[:, None] - near.GR.to_numpy()[None, :] % 97)
+        want |= {(well, i): v for i, v in zip(own.row_idx, near.TVT.to_numpy()[gap.argmin(1)])}
+    assert {(r.well, r.row_idx): r.matched_tvt for r in got.itertuples()} == pytest.approx(want, abs=1e-6)
+    assert set(got.row_idx % 7) == set(range(7))
