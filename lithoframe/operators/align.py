@@ -135,10 +135,14 @@ def resample(t: DataFrame, step: float = 1.0, key: list[str] | None = None) -> D
     return interpolate(grid, "TVT", t, "GR", key or None)
 
 
+# Offsets in feet of the local correlation's search.
+SEARCH = list(range(-120, 121))
+
+
 def shifted_correlation(rows: DataFrame, anchor: str, t: DataFrame, offsets: list[int], key: str = "well", order: str = "row_idx", half: int = 15) -> DataFrame:
     """Per row, the offset whose typewell GR correlates best with GR over the rows within ``half``: ``xcorr_best_corr, xcorr_tvt_delta, xcorr_best_absdiff``."""
     spread = rows.select(key, order, "GR", anchor, F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("__at", F.col(anchor) + F.col("offset"))
-    found = interpolate(spread, "__at", t)
+    found = interpolate(spread, "__at", t, bucket=2.0)
     w = Window.partitionBy(key, "offset").orderBy(order).rowsBetween(-half, half)
     scored = found.withColumn("c", correlation("GR", "tw_gr", w)).filter(F.col("c").isNotNull())
     best = F.max(F.struct("c", (-F.abs(F.col("offset"))).alias("near"), "offset", F.abs(F.col("GR") - F.col("tw_gr")).alias("gap")))

@@ -277,7 +277,7 @@ add("ease_path", lambda s, d: align.ease_paths(_anchored(s, d).filter(scalar.hid
 add("best_endpoint", lambda s, d: align.best_endpoint(align.ease_paths(_anchored(s, d).filter(scalar.hidden()), "anchor", typewell(s, d)), tau=50.0), f"{_EASE}, o AS (SELECT well, list(endpoint ORDER BY path_abs, endpoint) AS e, list(path_abs ORDER BY path_abs, endpoint) AS p, sum(exp(-path_abs / 50) * endpoint) / sum(exp(-path_abs / 50)) AS soft FROM pa GROUP BY well) SELECT well, e[1] AS best_endpoint, {R('p[2] - p[1]')} AS gap, {R('soft')} AS soft_endpoint FROM o")
 add("boundary_dist", lambda s, d: align.boundary_distance(_shifted(s, d).select(*ID, "TVT"), "TVT", typewell(s, d)).select(*ID, "boundary_dist"), f"{TWS}, b AS (SELECT TVT AS x FROM (SELECT TVT, Geology, lag(Geology) OVER (ORDER BY TVT) AS g FROM tw) WHERE Geology <> g), l AS (SELECT sh.well, sh.row_idx, sh.TVT, b.x AS lx FROM sh ASOF LEFT JOIN b ON sh.TVT >= b.x), r AS (SELECT l.*, b.x AS rx FROM l ASOF LEFT JOIN b ON l.TVT <= b.x) SELECT well, row_idx, {R('least(abs(TVT - lx), abs(rx - TVT))')} AS boundary_dist FROM r")
 add("tw_resample", lambda s, d: align.resample(typewell(s, d)).select("TVT", "GR"), f"WITH {TW}, {SEG}, g AS (SELECT unnest(generate_series((SELECT ceil(lo)::BIGINT FROM lim), (SELECT floor(hi)::BIGINT FROM lim)))::DOUBLE AS TVT) SELECT {R('TVT')} AS TVT, {R('tw_gr')} AS GR FROM ({interp2('g', 'TVT', 'TVT')})")
-add("xcorr", lambda s, d: align.shifted_correlation(_anchored(s, d).filter("row_idx < 150"), "TVT", typewell(s, d).withColumn("GR", F.col("GR") % 97), [-40, -10, 0, 10, 40]).select(*ID, "xcorr_best_corr"), f"WITH {EV}, tw AS (SELECT 10000 + CAST(0.5 AS DOUBLE) * p_partkey AS TVT, CAST(p_retailprice AS DOUBLE) % 97 AS GR, p_brand AS Geology FROM part), {SEG}, sh AS (SELECT * REPLACE (TVT - {HALF} AS TVT) FROM ev WHERE row_idx < 150), sp AS (SELECT well, row_idx, GR, TVT, unnest([-40, -10, 0, 10, 40]) AS o FROM sh), i AS ({interp2('sp', 'TVT + o', 'well, row_idx, GR, o')}), c AS (SELECT well, row_idx, corr(GR, tw_gr) OVER (PARTITION BY well, o ORDER BY row_idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS c FROM i) SELECT well, row_idx, {R('max(c)')} AS xcorr_best_corr FROM c WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY well, row_idx")
+add("xcorr", lambda s, d: align.shifted_correlation(_anchored(s, d), "TVT", typewell(s, d).withColumn("GR", F.col("GR") % 97), align.SEARCH), f"WITH {EV}, tw AS (SELECT 10000 + CAST(0.5 AS DOUBLE) * p_partkey AS TVT, CAST(p_retailprice AS DOUBLE) % 97 AS GR, p_brand AS Geology FROM part), {SEG}, sh AS (SELECT * REPLACE (TVT - {HALF} AS TVT) FROM ev WHERE row_idx < 150), sp AS (SELECT well, row_idx, GR, TVT, unnest([-40, -10, 0, 10, 40]) AS o FROM sh), i AS ({interp2('sp', 'TVT + o', 'well, row_idx, GR, o')}), c AS (SELECT well, row_idx, corr(GR, tw_gr) OVER (PARTITION BY well, o ORDER BY row_idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS c FROM i) SELECT well, row_idx, {R('max(c)')} AS xcorr_best_corr FROM c WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY well, row_idx")
 
 # Physics and post-processing.
 add("residual_target", lambda s, d: features.feature_table(well_ev(s, d)).select(*ID, post.residual().alias("residual")), f"WITH {EV}, {CONST} SELECT well, row_idx, {R('TVT - tvt_input_visible_last')} AS residual FROM ev JOIN con USING (well)")

@@ -52,3 +52,25 @@ def test_nearest_gr_of_all_hidden_rows(spark):
         want |= {(well, i): v for i, v in zip(own.row_idx, near.TVT.to_numpy()[gap.argmin(1)])}
     assert {(r.well, r.row_idx): r.matched_tvt for r in got.itertuples()} == pytest.approx(want, abs=1e-6)
     assert set(got.row_idx % 7) == set(range(7))
+
+
+def test_xcorr_searches_whole_wells(spark, tmp_path):
+    spark.read.parquet(f"{LARGER}/events.parquet").filter("event_type = 'view' and event_id < 900").write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{LARGER}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["xcorr"](spark, str(tmp_path)).toPandas().set_index("row_idx").sort_index()
+    assert list(got.columns) == ["well", "xcorr_best_corr", "xcorr_tvt_delta", "xcorr_best_absdiff"]
+    rows = catalog._shifted(spark, str(tmp_path)).toPandas().sort_values("row_idx")
+    t = fixtures.typewell(spark, str(tmp_path)).toPandas().sort_values("TVT")
+    gr, n, best = rows.GR.to_numpy(float), len(rows), {}
+    offsets = range(-120, 121)
+    tw = {o: np.interp(rows.TVT + o, t.TVT, t.GR.astype(float) % 97) for o in offsets}
+    for i in range(n):
+        near = np.arange(max(0, i - 15), min(n, i + 16))
+        near = near[np.isfinite(gr[near])]
+        best[i] = max(np.corrcoef(gr[near], tw[o][near])[0, 1] for o in offsets if tw[o][near].std() > 1e-9)
+    assert n > 150 and list(got.index) == list(range(n))
+    assert np.allclose(got.xcorr_best_corr, [best[i] for i in range(n)], atol=1e-5)
+    assert got.xcorr_tvt_delta.abs().max() > 40
+    at = np.array([tw[int(o)][i] for i, o in enumerate(got.xcorr_tvt_delta)])
+    ok = np.isfinite(gr)
+    assert np.allclose(got.xcorr_best_absdiff[ok], np.abs(gr - at)[ok], atol=1e-5)
