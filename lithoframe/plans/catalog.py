@@ -227,7 +227,7 @@ add("target_encode", lambda s, d: crossval.target_encode(crossval.with_folds(wel
 def _oof(s, d, **options):
     t = features.feature_table(well_user(s, d))
     train, test = t.filter("TVT IS NOT NULL"), t.filter("TVT IS NULL")
-    return crossval.out_of_fold(train, ["MD", "X", "Y", "Z", "GR", "GR_roll_mean_50", "md_to_visible_end"], "TVT", crossval.fold_map(train, 3), test, maxIter=4, maxDepth=3, **options)
+    return crossval.out_of_fold(train, features.FEATURES, "TVT", crossval.fold_map(train), test, **options)
 
 
 add("oof_gbt", lambda s, d: _oof(s, d)[0].drop("fold"))

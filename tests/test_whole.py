@@ -74,3 +74,16 @@ def test_xcorr_searches_whole_wells(spark, tmp_path):
     at = np.array([tw[int(o)][i] for i, o in enumerate(got.xcorr_tvt_delta)])
     ok = np.isfinite(gr)
     assert np.allclose(got.xcorr_best_absdiff[ok], np.abs(gr - at)[ok], atol=1e-5)
+
+
+def test_baseline_of_the_operators_own_size(spark, monkeypatch):
+    seen = []
+
+    def kept(train, names, target, folds, test, **options):
+        seen.append((list(names), folds.select("fold").distinct().count(), set(options) - {"residual_to"}))
+        return train.withColumn("fold", F.lit(0)), test
+
+    monkeypatch.setattr(catalog.crossval, "out_of_fold", kept)
+    for name in ("oof_gbt", "oof_gbt_residual", "test_mean_pred"):
+        catalog.QUERIES[name](spark, DATA)
+    assert seen == 3 * [(catalog.features.FEATURES, 5, set())]
