@@ -261,7 +261,7 @@ def _met(few: DataFrame, all_: DataFrame, most: int, bits: int, once: Column) ->
     return p.join(q, ["key", "block"]).filter((F.col("p_label") != F.col("q_label")) & once & _alike(bits))
 
 
-def agreed(matches: DataFrame, least: int = 4, shift: float = 4.0, part: float = 0.15) -> DataFrame:
+def agreed(matches: DataFrame, least: int = 6, shift: float = 4.0, part: float = 0.15) -> DataFrame:
     """Image pairs (``a``, ``b``) of which ``least`` corners agree on one turn, scale and shift.
 
     Every match of two corners gives a turn and a scale; other matches agree
@@ -306,7 +306,7 @@ def consents(left: list[np.ndarray], right: list[np.ndarray], least: int, shift:
     return False
 
 
-def image_links(found: DataFrame, least: int = 4, bits: int = 24, most: int = 512, crowd: int = 32, rounds: int = 2) -> DataFrame:
+def image_links(found: DataFrame, least: int = 6, bits: int = 24, most: int = 512, crowd: int = 32, rounds: int = 2) -> DataFrame:
     """Links (``a``, ``b``) that connect the same images as all links do. ``found``: ``image_id, corners, mates, keys``.
 
     Two images link if ``agreed`` over all matches of their corners in the
