@@ -1,6 +1,6 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by corpus-level merge replay, a block of the corpus at a time.
 
-All words that a block of texts has and that are not known yet are laid out as
+All words that a block of texts has and that its worker does not know yet are laid out as
 one array of symbols. An inverted index leads from each token that two
 neighbours can form to the places where they do. Tokens are formed in rank
 order, each at all its places at once; only the pairs beside a merge change,
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lithoframe.llm.common import keyed_text, lean
+from lithoframe.llm.common import keyed_text, lean, sliced
 from lithoframe.llm.encoder import encode_each, in_groups
 
 
@@ -150,6 +150,8 @@ class BytePairCoder:
 
         self.table = MergeTable(read_ranks(path))
         self.words = regex.compile(pattern).findall
+        # Very long texts are cut before a space between ASCII letters, for patterns that always end a match there.
+        self.cuts = all(self.words(a + b) == [*self.words(a), *self.words(b)] for a in ("ab", "x's Ab", "1 b", "one, two") for b in (" cd", " c's", " d1, e"))
         self.max_known, self.longest_known = max_known, longest_known
         self.known: dict[str, bytes] = {}
 
@@ -182,16 +184,14 @@ def coder(path: str, pattern: str) -> BytePairCoder:
 
 
 def _encoded(use: BytePairCoder, batches, block_chars: int):
-    for batch in batches:
+    for batch in sliced(batches, 1024):
         for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(encode_each(use.encode, texts), pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(encode_each(use.encode, texts, lambda t: not use.cuts), pa.binary())], ["doc_id", "ids"])
 
 
 def _decoded(use: BytePairCoder, batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([use.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
+    for part in sliced(batches, 256):
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([use.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
 
 
 def _digested(batches):
@@ -208,7 +208,6 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     encoded; other columns play no part; an empty table gives no rows. Merges
     are replayed for blocks of about ``block_chars`` characters, or one text.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return keyed_text(df, id_col, text_col).mapInArrow(lean(lambda b: _encoded(coder(path, pattern), b, block_chars)), "doc_id long, ids binary")
 
 
@@ -219,7 +218,6 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def bpe_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 3 << 20) -> DataFrame:
     """Encode and decode in one pass: token count and SHA-256 of ids and of decoded bytes. Rows are handled as ``bpe_encode`` says."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
     def run(batches):
         use = coder(path, pattern)

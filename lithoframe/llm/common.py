@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and runs on one
+    machine, as in tests; on a cluster that is an error, as executors would
+    write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty() and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lithoframe-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -47,9 +52,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, as ``doc_id`` and ``text``; a null text is empty. Other columns, whatever their names, are left out."""
-    return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
+def keyed_text(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Only the id and the text, as ``doc_id`` and ``text``; a null text is empty. Other columns, whatever their names, are left out, but for ``row_col``, which becomes ``row``."""
+    row = [df[row_col].cast("long").alias("row")] if row_col else []
+    return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *row)
+
+
+def with_row(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number of its own for each row, whatever its columns hold, and that column's name.
+
+    A row's number is its file's place among the table's files and its place in
+    the file, so it is the same whenever the table is read. What isn't read
+    from Parquet files is written first. The driver gets one path per file.
+    """
+    name = "row"
+    while name in df.columns:
+        name = f"{name}_"
+    try:
+        place = df.metadataColumn("_metadata")
+        df.select(place["file_path"], place["row_index"])
+    except AnalysisException:
+        df = written(df, "rows")
+        place = df.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in df.select(place["file_path"]).distinct().collect())
+    files = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], f"{name}_path string, {name}_file long")
+    placed = df.select("*", place["file_path"].alias(f"{name}_path"), place["row_index"].alias(f"{name}_at"))
+    number = F.shiftleft(f"{name}_file", 40).bitwiseOR(F.col(f"{name}_at")).alias(name)
+    return placed.join(F.broadcast(files), f"{name}_path").select(*df.columns, number), name
 
 
 def salt_of(column: str | Column, salts: int) -> Column:

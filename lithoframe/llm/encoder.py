@@ -4,13 +4,14 @@ A text is split before each space and each line end that stands alone between
 printable characters. The byte-level pre-tokenizer always ends a token there,
 so runs encode alone as they do in the text, and most runs repeat. New runs are
 encoded many at a time, with line ends between them. A text with any other
-white space is encoded whole.
+white space, or with a token that was added to the vocabulary, is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -31,7 +32,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.max_known, self.longest_known = max_known, longest_known
         self.known: dict[str, bytes | None] = {}
@@ -41,6 +42,10 @@ class TextEncoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def marked(self, text: str) -> bool:
+        """Whether an added token stands in a text; the library then cuts around it first."""
+        return any(a in text for a in self.added)
+
     def runs(self, runs: list[str], at_once: int = 512) -> list[bytes]:
         """Ids of runs without line ends."""
         end = int.from_bytes(self.marks["\n"], "little")
@@ -78,9 +83,10 @@ class TextEncoder:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         last = ["\n" if t[-1:] == "\n" else "" for t in texts]
-        split = [(t[: len(t) - len(e)]).replace("\n", " \n").split(" ") for t, e in zip(texts, last, strict=True)]
+        marked = [self.marked(t) for t in texts]
+        split = [[""] if m else (t[: len(t) - len(e)]).replace("\n", " \n").split(" ") for t, e, m in zip(texts, last, marked, strict=True)]
         # A space before a line end would be lost in the splitting; so would one before what the text ends with.
-        odd = [" \n" in t or bool(p[0] and not printable(p[0][-1])) or bool(e and not p[-1]) for t, p, e in zip(texts, split, last, strict=True)]
+        odd = [m or " \n" in t or bool(p[0] and not printable(p[0][-1])) or bool(e and not p[-1]) for t, p, e, m in zip(texts, split, last, marked, strict=True)]
         heads = self.library([p.pop(0) for p in split])
         new = []
         for w in set().union(*split):
@@ -125,11 +131,11 @@ def cut_text(text: str, most: int = 1 << 20) -> list[str]:
     return [*parts, text[at:]]
 
 
-def encode_each(encode, texts: list[str]) -> list[bytes]:
-    """Ids of texts, long ones part by part."""
+def encode_each(encode, texts: list[str], whole: Callable[[str], bool] = lambda t: False) -> list[bytes]:
+    """Ids of texts, long ones part by part but for those that must stay ``whole``."""
     if all(len(t) <= 1 << 20 for t in texts):
         return encode(texts)
-    return [b"".join([encode([p])[0] for p in cut_text(t)]) for t in texts]
+    return [b"".join([encode([p])[0] for p in ([t] if whole(t) else cut_text(t))]) for t in texts]
 
 
 _encoders: dict[str, TextEncoder] = {}

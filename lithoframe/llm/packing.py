@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import keyed_text, lean, written
+from lithoframe.llm.common import keyed_text, lean, sliced, written
 from lithoframe.llm.encoder import encode_each, encoder, in_groups
 
 
@@ -108,17 +108,15 @@ def cut(n: int, longest: int) -> list[tuple[int, int]]:
 
 def encode_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of all texts with their ids, written once: ``doc_id, piece, start, length, ids`` and ``part, local_rank``, which number the pieces of a length within a part."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-
     def encode(batches):
         coder, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         kind = "<u2" if max(coder.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
         seen = np.zeros(longest + 1, np.int64)
         end = int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches, 256):
             rows = []
             for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key, got in zip(keys, encode_each(coder.encode, texts), strict=True):
+                for key, got in zip(keys, encode_each(coder.encode, texts, coder.marked), strict=True):
                     ids = np.frombuffer(got + end, "<u4").astype(kind)
                     for piece, (start, length) in enumerate(cut(len(ids), longest)):
                         rows.append((key, piece, start, length, part, int(seen[length]), ids[start : start + length].tobytes()))
@@ -165,7 +163,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     pieces = encode_pieces(df, tokenizer_path, id_col, text_col, capacity, end_id)
 
     def digest(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             wide = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4") for x, n in zip(batch.column(6).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             columns = [*batch.columns[:6], pa.array([zlib.crc32(x) for x in wide], pa.int64()), *([batch.column(6)] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "part", "local_rank", "ids_crc32", *(["ids"] if with_ids else [])])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lithoframe.llm.common import keyed_text, lean
+from lithoframe.llm.common import keyed_text, lean, sliced
 from lithoframe.llm.labelled import training_rows
 
 STATISTICS = (
@@ -143,12 +143,10 @@ def score_quality(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col:
     like any other. Rows that repeat an id are each scored; other columns play
     no part; an empty table gives no rows.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    shared = spark.sparkContext.broadcast(trees)
+    shared = df.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 512):
             x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
 

@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import fresh_path, keyed_text, lean, written
+from lithoframe.llm.common import fresh_path, keyed_text, lean, sliced, written
 from lithoframe.llm.encoder import encode_each, encoder, in_groups
 
 NO_ID = -(1 << 63)
@@ -115,7 +115,6 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     its partition holds.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     out = fresh_path(spark, "tokens")
 
     def write(batches):
@@ -132,9 +131,9 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             put(fs, f"{base}/{path}", token_bytes(docs, lengths, np.frombuffer(b"".join(ids), "<u4"), width, block))
             return pa.RecordBatch.from_pydict({"path": [f"{out}/{path}"], "part": [part], "number": [number], "n_docs": [len(docs)], "n_tokens": [held]})
 
-        for batch in batches:
+        for batch in sliced(batches, 256):
             for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key, got in zip(keys, encode_each(coder.encode, texts), strict=True):
+                for key, got in zip(keys, encode_each(coder.encode, texts, coder.marked), strict=True):
                     docs.append(NO_ID if key is None else key)
                     ids += (got, end)
                     lengths.append(len(got) // 4 + 1)
@@ -152,14 +151,15 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Read a manifest's files: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens``, ``ids_crc32``.
 
-    The driver holds one row per file to number the ids across files.
+    A file's first id follows from the sums of the parts before its own and of
+    the files before it in its part; one task sees a row for each part.
     """
-    spark, rows, start = manifest.sparkSession, [], 0
-    for r in manifest.orderBy("part", "number").select("path", "n_tokens").toLocalIterator():
-        rows.append((r.path, start))
-        start += r.n_tokens
-    files = spark.createDataFrame(rows, "path string, base long")
-    files = files.repartition(max(1, len(rows)), "path") if rows else files
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("earlier"))
+    inner = manifest.select("part", "path", before(Window.partitionBy("part").orderBy("number")).alias("inner"))
+    files = inner.join(parts, "part").select("path", (F.col("earlier") + F.col("inner")).alias("base"))
+    # A task reads one file, or a few where there are very many.
+    files = files.repartition(max(1, min(manifest.count(), 20_000)), "path")
 
     def read(batches):
         for batch in batches:
