@@ -6,6 +6,12 @@ most telling character n-gram (from other folds while training). Overlapping win
 both directions; attention pools each window, and the text's score is that of
 its highest window. Only the highest window of a text trains, with some others
 where the text is clean, since a label does not say where a text is toxic.
+
+A run of more than ``LONGEST`` characters without white space, as in languages
+that write no spaces, becomes overlapping parts that each count as a word, so
+that all of it is read. A part stands for the word of five characters or more
+that it holds anywhere, if one tells of the label; its own n-grams are those of
+such runs in the training texts.
 """
 
 from __future__ import annotations
@@ -17,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lithoframe.llm.common import keyed_text, lean
+from lithoframe.llm.common import keyed_text, lean, sliced
 from lithoframe.llm.encoder import in_groups
 from lithoframe.llm.labelled import training_rows
 
 WINDOW, STRIDE, FOLDS = 24, 12, 4
 STRIP = ".,;:!?\"'()[]{}<>*#$%&-_|/\\"
+LONGEST, PART_STEP, INNER = 32, 16, "\0"
 PAD_GATE = -30.0
 
 
@@ -31,11 +38,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Words in lower case; those of more than ``LONGEST`` characters as overlapping parts, which begin with ``INNER``."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out += [INNER + w[i : i + LONGEST] for i in range(0, len(w) - LONGEST + PART_STEP, PART_STEP)]
+    return out
+
+
+def inner_words(part: str) -> list[str]:
+    """All stretches of 5 to 16 characters of a part, any of which may be a word."""
+    return [part[i : i + n] for n in range(5, 17) for i in range(1, len(part) - n + 1)]
 
 
 def grams_of(word: str) -> list[str]:
-    """The marked word's beginnings and ends of 4 to 8 characters."""
+    """The marked word's beginnings and ends of 4 to 8 characters; of a part, all its stretches of 2 to 8, marked as such."""
+    if word[:1] == INNER:
+        return [INNER + word[i : i + n] for n in range(2, 9) for i in range(1, len(word) - n + 1)]
     marked = f"<{word}>"
     longest = min(8, len(marked))
     return [marked[:n] for n in range(4, longest + 1)] + [marked[-n:] for n in range(4, longest + 1)]
@@ -60,18 +84,30 @@ class GatedNet:
         self.odds: dict[str, float] = {}
         self.gram_odds: dict[str, float] = {}
 
+    def told(self, word: str) -> str:
+        """What stands for a word in the tables: the word, or of a part the inner word of the highest log-odds, if any are above 0."""
+        if word[:1] != INNER:
+            return word
+        best = max(inner_words(word), key=lambda w: self.odds.get(w, 0.0), default="")
+        return best if self.odds.get(best, 0.0) > 0 else word[1:]
+
     def evidence(self, words: list[str]) -> np.ndarray:
         """Log-odds of each word and the highest of its n-grams'."""
         grams = self.gram_odds
+        most = lambda w: max((grams.get(g, 0.0) for g in grams_of(w)), default=0.0)
+        if any(w[:1] == INNER for w in words):
+            held = [self.told(w) for w in words]
+            return np.array([(self.odds.get(h, 0.0), max(most(w), most(h) if h in self.odds else 0.0)) for w, h in zip(words, held, strict=True)], np.float32).reshape(-1, 2)
         return np.array([(self.odds.get(w, 0.0), max((grams.get(g, 0.0) for g in grams_of(w)), default=0.0)) for w in words], np.float32).reshape(-1, 2)
 
     def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Embedding row of each word, then trigram rows one after another and where each word's begin."""
-        word = np.array([zlib.crc32(w.encode()) % self.word_rows for w in words], np.int64)
+        words = [self.told(w) for w in words]
+        word = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.word_rows for w in words], np.int64)
         grams, begins = [], []
         for w in words:
             begins.append(len(grams))
-            b = f"<{w[:64]}>".encode()
+            b = f"<{w}>".encode("utf-8", "surrogatepass")
             grams += [zlib.crc32(b[i : i + 3]) % self.char_rows for i in range(max(1, len(b) - 2))]
         return word, np.array(grams, np.int64), np.array(begins, np.int64)
 
@@ -194,8 +230,11 @@ def log_odds(uses: list[np.ndarray], size: int, labels: np.ndarray, fold: np.nda
     return np.where(n.sum(axis=2) > 1, np.clip(odds, -4, 4) / 2, 0).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 0, batch: int = 64, rate: float = 0.01, least_steps: int = 250) -> GatedNet:
-    """Train on texts and labels, for ``epochs`` or as many as make ``least_steps``. Without both labels the net stays as drawn, with its bias at the label."""
+def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 0, batch: int = 64, rate: float = 0.01, least_steps: int = 250, with_odds: bool = True) -> GatedNet:
+    """Train on texts and labels, for ``epochs`` or as many as make ``least_steps``. Without both labels the net stays as drawn, with its bias at the label.
+
+    Without ``with_odds`` the log-odds are all 0, and the net has only its embeddings.
+    """
     net = GatedNet(seed)
     labels = np.array([y for _, y in rows], np.int64)
     if len(set(labels.tolist())) < 2:
@@ -203,7 +242,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 0, batch: int
         net.p["out_b"][:] = 3.0 if labels.sum() else -3.0
         return net
     docs = [[w.strip(STRIP) for w in words_of(t)] for t, _ in rows]
-    fold = np.array([zlib.crc32(t.encode()) % FOLDS for t, _ in rows])
+    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t, _ in rows])
     vocab: dict[str, int] = {}
     grams: dict[str, int] = {}
     for d in docs:
@@ -216,10 +255,17 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 0, batch: int
     by_gram = log_odds([np.unique(np.concatenate([own_grams[i] for i in u])) if len(u) else u for u in uses], len(grams), labels, fold)
     by_word[np.abs(by_word) <= 0.25] = 0
     by_gram[by_gram <= 0.5] = 0
+    if not with_odds:
+        by_word[:], by_gram[:] = 0, 0
     sizes = np.array([len(g) for g in own_grams])
     best = np.maximum.reduceat(by_gram[np.concatenate(own_grams)], np.cumsum(sizes) - sizes, axis=0)
+    for i, w in enumerate(words):
+        if w[:1] == INNER:  # a part has the log-odds of what it holds, as it has when texts are scored
+            held = max((vocab[x] for x in inner_words(w) if x in vocab), key=lambda k: by_word[k, FOLDS], default=i)
+            by_word[i] = by_word[held] if held != i and by_word[held, FOLDS] > 0 else 0
+            best[i] = np.maximum(best[i], best[held]) if by_word[i, FOLDS] else best[i]
     odds = np.stack([by_word.T, best.T], axis=2)[:FOLDS]
-    net.odds = {w: float(v) for w, v in zip(words, by_word[:, FOLDS], strict=True) if v}
+    net.odds = {w: float(v) for w, v in zip(words, by_word[:, FOLDS], strict=True) if v and w[:1] != INNER}
     net.gram_odds = {g: float(v) for g, v in zip(grams, by_gram[:, FOLDS], strict=True) if v}
     flat = np.array([vocab[w] + 1 for d in docs for w in d], np.int32)
     index, owner = layout([len(d) for d in docs], flat)
@@ -323,14 +369,13 @@ def with_toxicity(df: DataFrame, net: GatedNet, text_col: str = "text", score_co
     pass through; an empty table gives no rows.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     shared = spark.sparkContext.broadcast(net)
     own = df.drop(score_col)
     at = own.columns.index(text_col)
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches, 512):
             done = 0
             for rows, texts in in_groups(list(range(batch.num_rows)), batch.column(at).to_pylist(), 1 << 19):
                 part = batch.slice(done, len(rows))
