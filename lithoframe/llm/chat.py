@@ -2,8 +2,10 @@
 
 Events are folded per message, messages are rendered per conversation. Both
 steps run over sorted partitions and hold one message, or one segment of about
-``segment_chars``, whatever a conversation's length; folding spreads a long
-conversation over tasks by message, rendering streams it in order.
+``segment_chars``, whatever a conversation's length. Folding spreads a long
+conversation over tasks by message, rendering by ranges of messages, reading
+back by segment; only the digest of a conversation runs over its segments in
+order.
 
 Events of a message, by ``seq``: ``message`` begins one with a role and text,
 ``delta`` appends, ``edit`` replaces the text, ``regenerate`` empties it for
@@ -21,10 +23,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import lean, written
+from lithoframe.llm.common import lean, sliced, written
 
 MARKS = ("[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE:", "[/ROLE]", "<s>", "</s>")
 _MARK = re.compile("|".join(map(re.escape, MARKS)))
@@ -102,7 +105,7 @@ def fold(events: Iterable[tuple[str, str, str]]) -> Iterator[tuple[str, str]]:
 
 
 def _rows(batches) -> Iterator[tuple]:
-    for batch in batches:
+    for batch in sliced(batches, 1024):
         yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
 
@@ -111,7 +114,7 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 500, chars: i
     make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema.names)
     for row in rows:
         held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, str))
+        size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
         if len(held) >= most or size >= chars:
             yield make()
             held, size = [], 0
@@ -153,22 +156,23 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, segment_chars: int = 1 << 20, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Formatted conversations: ``conv_id, segment, formatted, loss_starts, loss_ends``.
 
-    A conversation is one segment, or several of whole turns if it is long. The
-    loss mask is given as ranges of code points in a segment.
+    A conversation is one segment, or several of whole turns if it is long or
+    lies in two ranges of messages; ``segment`` rises in order. The loss mask is
+    given as ranges of code points in a segment. A NULL conversation is one
+    like any other; messages without a place come first.
     """
-    ordered = messages.repartition("conv_id").sortWithinPartitions("conv_id", "message", "part")
+    ordered = messages.repartitionByRange("conv_id", "message", "part").sortWithinPartitions("conv_id", "message", "part")
     spans = pa.list_(pa.int64())
     schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("formatted", pa.string()), ("loss_starts", spans), ("loss_ends", spans)])
 
     def run(batches):
         def segments():
-            conv, segment, turns, size, starts, ends = None, 0, [], 0, [], []
+            conv, segment, turns, size, starts, ends = None, TaskContext.get().partitionId() << 32, [], 0, [], []
             for key, _, _, role, text in _rows(batches):
                 if turns and (key != conv or size >= segment_chars):
                     yield conv, segment, "".join(turns), starts, ends
                     segment, turns, size, starts, ends = segment + 1, [], 0, [], []
-                if key != conv:
-                    conv, segment = key, 0
+                conv = key
                 turn, begin, end = render_turn(role, text)
                 if role in trained_roles:
                     starts.append(size + begin)
@@ -187,36 +191,49 @@ def format_chats(conversations: DataFrame, segment_chars: int = 1 << 20) -> Data
     """Format a table of turns (``conv_id, turn, role, text``), written to the shared folder.
 
     Null texts and roles are empty. Turns that tie go by role and text, and
-    rows that repeat are turns each. Other columns play no part; an empty table
-    gives no rows.
+    rows that repeat are turns each. Rows without a conversation are one
+    conversation, those without a turn its first turns. Other columns play no
+    part; an empty table gives no rows.
     """
-    conversations.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     events = conversations.select("conv_id", F.col("turn").alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
     return written(render(fold_events(events), segment_chars), "chats")
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """Read formatted conversations back: turns by parsing, trained text by the loss mask."""
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    """Read formatted conversations back: turns by parsing, trained text by the loss mask.
+
+    Segments are parsed wherever they lie; what the digests run over then goes
+    to one task per conversation, which holds one segment at a time.
+    """
+    read = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("turns", pa.int64()), ("said", pa.binary()), ("loss_chars", pa.int64()), ("loss", pa.binary()), ("chars", pa.int64())])
+
+    def parsed(batches):
+        def segments():
+            for conv, segment, text, starts, ends in _rows(batches):
+                said = [f"{role}\n{x}\n" for role, x, _, _ in parse(text)]
+                loss = "".join([unescape(text[a:b]) for a, b in zip(starts, ends, strict=True)])
+                yield conv, segment, len(said), "".join(said).encode("utf-8", "surrogatepass"), len(loss), loss.encode("utf-8", "surrogatepass"), len(text)
+
+        yield from _batches(segments(), read)
+
+    own = formatted.mapInArrow(lean(parsed), "conv_id long, segment long, turns long, said binary, loss_chars long, loss binary, chars long")
+    ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches):
         def digests():
             conv, held = None, None
-            for key, _, text, starts, ends in _rows(batches):
+            for key, _, turns, said, loss_chars, loss, chars in _rows(batches):
                 if held is not None and key != conv:
                     yield conv, held[0], held[1].hexdigest(), held[2], held[3].hexdigest(), held[4]
                     held = None
                 if held is None:
                     conv, held = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said, _, _ in parse(text):
-                    held[0] += 1
-                    held[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                for a, b in zip(starts, ends, strict=True):
-                    part = unescape(text[a:b])
-                    held[2] += len(part)
-                    held[3].update(part.encode("utf-8", "surrogatepass"))
-                held[4] += len(text)
+                held[0] += turns
+                held[1].update(said)
+                held[2] += loss_chars
+                held[3].update(loss)
+                held[4] += chars
             if held is not None:
                 yield conv, held[0], held[1].hexdigest(), held[2], held[3].hexdigest(), held[4]
 
