@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import keyed_text, lean, salt_of, written
+from lithoframe.llm.common import keyed_text, lean, salt_of, sliced, written
 from lithoframe.llm.components import components
 
 HASH_SEED = 42
@@ -47,10 +47,9 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a signed long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 512):
             found = np.array([fingerprint(t or "", width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
@@ -71,7 +70,7 @@ def offsets(m: int, limit: int) -> list[tuple[int, ...]]:
     return sorted(v for v in out if v >= (0,) * m)
 
 
-def segment_count(n: int, limit: int, least: int = 10, most: int = 16, aim: float = 16.0) -> int:
+def segment_count(n: int, limit: int, least: int = 10, most: int = 21, aim: float = 16.0) -> int:
     """The fewest segments for which a fingerprint meets about ``aim`` others by chance, among ``n`` random ones."""
     for m in range(least, most):
         same = sum(math.log2(math.comb(2 * w, w)) - 2 * w for _, w in segments(m))
@@ -92,7 +91,8 @@ def near_pairs(nodes: DataFrame, limit: int = 2, m: int = 10) -> DataFrame:
     placed = nodes.select("id", "fp", cell.alias("cell"))
     step = F.explode(F.lit(np.array(steps, np.int64)))
     probes = placed.select(F.col("fp").alias("fp_a"), F.col("id").alias("a"), "cell", step.alias("step")).select("fp_a", "a", (F.col("cell") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("own"))
-    met = probes.join(placed.withColumnRenamed("id", "b").hint("shuffle_hash"), "cell")
+    # A sort-merge join spills, and large cells can be split while it runs.
+    met = probes.join(placed.withColumnRenamed("id", "b"), "cell")
     near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp"))) <= limit
     return met.filter(near & (~F.col("own") | (F.col("fp_a") < F.col("fp")))).select("a", "b")
 
