@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import fresh_path, keyed_text, lean
+from lithoframe.llm.common import fresh_path, keyed_text, lean, sliced
 from lithoframe.llm.suffix_sort import least_owner
 from lithoframe.llm.token_file import file_system, put
 
@@ -94,10 +94,10 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Block:
-    """Documents that were written together, and, once found, the runs of all of them."""
+    """Documents that were written together, with the numbers of their rows and whether they have an id, and, once found, the runs of all of them."""
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, data: bytes, width: int):
-        self.ids, self.ends, self.data, self.width = ids, ends, data, width
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, named: np.ndarray, ends: np.ndarray, data: bytes, width: int):
+        self.ids, self.rows, self.named, self.ends, self.data, self.width = ids, rows, named, ends, data, width
 
     def find_runs(self, k: int) -> Block:
         ends, data, width = self.ends, self.data, self.width
@@ -115,7 +115,7 @@ class Block:
         fs, name = file_system(path)
         fs.create_dir(name.rpartition("/")[0], recursive=True)
         body = pa.compress(self.data, "zstd", asbytes=True)
-        put(fs, name, b"".join([np.array([len(self.ids), len(self.data)], "<i8").tobytes(), self.ids.astype("<i8").tobytes(), self.ends.astype("<i8").tobytes(), body]))
+        put(fs, name, b"".join([np.array([len(self.ids), len(self.data)], "<i8").tobytes(), *[v.astype("<i8").tobytes() for v in (self.ids, self.rows, self.named, self.ends)], body]))
 
     @classmethod
     def read(cls, path: str, width: int) -> Block:
@@ -123,8 +123,8 @@ class Block:
         with fs.open_input_stream(name) as f:
             raw = f.read()
         n, size = np.frombuffer(raw, "<i8", 2).tolist()
-        ids, ends = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n, 16 + 8 * n)
-        return cls(ids, ends, pa.decompress(memoryview(raw)[16 + 16 * n :], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", width)
+        parts = [np.frombuffer(raw, "<i8", n, 16 + 8 * n * k) for k in range(4)]
+        return cls(*parts, pa.decompress(memoryview(raw)[16 + 32 * n :], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", width)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct minimizers in order, whether two documents of the block have each, and each run's number among them."""
@@ -193,37 +193,38 @@ def _groups(batches, key: int) -> Iterator[tuple[int, list[tuple]]]:
         yield now, held
 
 
-def _blocks(batches, block_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+def _blocks(batches, block_bytes: int) -> Iterator[tuple[list[int | None], list[int], list[bytes]]]:
+    """Ids, row numbers and texts of blocks."""
+    ids, rows, texts, size = [], [], [], 0
+    for batch in sliced(batches, 256):
+        numbers = batch.column(2).to_pylist() if batch.num_columns > 2 else [0] * batch.num_rows
+        for i, t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), numbers, strict=True):
             b = t.encode("utf-8", "surrogatepass")
-            ids.append(NO_ID if i is None else i)
+            ids.append(i)
+            rows.append(r)
             texts.append(b)
             size += len(b)
             if size >= block_bytes:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, rows, texts
+                ids, rows, texts, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, rows, texts
 
 
-def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, k: int = 16, block_bytes: int = 12 << 20, shards: int | None = None, kept: str = "bytes") -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, starts, ends, kept`` — spans of bytes to remove, in order, and what stays.
+def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, k: int = 16, block_bytes: int = 12 << 20, shards: int | None = None, kept: str = "bytes", row_col: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id, n_bytes, starts, ends, kept`` — spans of bytes to remove, in order, and what stays; and ``row``, the numbers in ``row_col``, if that is given.
 
     A byte goes if it lies in ``width`` bytes that also start in a document of
     smaller id; matches are judged on the input and never cross documents. A
     null text is empty; texts shorter than ``width`` stay whole. Rows that
     share an id are one document to each other: neither removes from the other.
-    A NULL id counts as larger than all.
+    A NULL id counts as the largest there can be.
     Other columns play no part; an empty table gives no rows. Blocks rely on a
     partition giving its rows in the same order if a task runs again, as tables
     do. ``kept`` asks for the remaining ``bytes``, for them as ``text`` without
     the parts of characters that were cut through, or for their ``sha256``.
     """
     spark = df.sparkSession
-    # Rows of packed arrays are large and few.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     folder = fresh_path(spark, "blocks")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # A task sorts one shard at a time, so small shards bound its memory.
@@ -232,8 +233,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def start(batches):
         def rows():
             part = TaskContext.get().partitionId()
-            for number, (ids, texts) in enumerate(_blocks(batches, block_bytes)):
-                block = Block(np.array(ids, np.int64), np.cumsum([len(t) for t in texts]), b"".join(texts), width).find_runs(k)
+            for number, (ids, numbers, texts) in enumerate(_blocks(batches, block_bytes)):
+                own = np.array([NO_ID if i is None else i for i in ids], np.int64)
+                block = Block(own, np.array(numbers, np.int64), np.array([i is not None for i in ids]), np.cumsum([len(t) for t in texts]), b"".join(texts), width).find_runs(k)
                 key, path = (part << 24) + number, f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}"
                 block.write(path)
                 h, many, _ = block.distinct()
@@ -332,7 +334,7 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     form = {"bytes": lambda b: b, "text": lambda b: b.decode("utf-8", "ignore"), "sha256": lambda b: hashlib.sha256(b).hexdigest()}[kept]
     kept_type = "binary" if kept == "bytes" else "string"
-    out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary() if kept == "bytes" else pa.string())])
+    out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary() if kept == "bytes" else pa.string()), ("row", pa.int64())])
 
     def finish(batches):
         for _, got in _groups(batches, 1):
@@ -367,7 +369,7 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 s, e = np.maximum(all_starts[lo:hi], a), np.minimum(all_ends[lo:hi], b)
                 cuts = [a, *np.stack([s, e], axis=1).ravel().tolist(), b]
                 stays = form(b"".join([block.data[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]))
-                rows.append((None if block.ids[i] == NO_ID else int(block.ids[i]), b - a, (s - a).tolist(), (e - a).tolist(), stays))
+                rows.append((int(block.ids[i]) if block.named[i] else None, b - a, (s - a).tolist(), (e - a).tolist(), stays, int(block.rows[i])))
                 size += len(stays)
                 if size >= 4 << 20 or i == len(block.ends) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out_schema.types, strict=True)], out_schema.names)
@@ -375,8 +377,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     by_shard = lambda d: d.repartitionById(partitions, F.pmod(F.col("shard") + 1, F.lit(partitions))).sortWithinPartitions("shard", "block")
     by_block = lambda d: d.repartition(partitions, "block").sortWithinPartitions("block", "shard")
-    sent = by_block(by_shard(keyed_text(df, id_col, text_col).mapInArrow(lean(start), ROW)).mapInArrow(lean(share), ROW)).mapInArrow(lean(send), ROW)
-    return by_block(by_shard(sent).mapInArrow(lean(sort), ROW)).mapInArrow(lean(finish), f"doc_id long, n_bytes long, starts array<long>, ends array<long>, kept {kept_type}")
+    sent = by_block(by_shard(keyed_text(df, id_col, text_col, row_col).mapInArrow(lean(start), ROW)).mapInArrow(lean(share), ROW)).mapInArrow(lean(send), ROW)
+    out = by_block(by_shard(sent).mapInArrow(lean(sort), ROW)).mapInArrow(lean(finish), f"doc_id long, n_bytes long, starts array<long>, ends array<long>, kept {kept_type}, row long")
+    return out if row_col else out.drop("row")
 
 
 def _decompressed(raw: bytes) -> bytes:

@@ -87,11 +87,11 @@ def test_suffix_text_is_valid(spark):
     assert kept == {1: "x" + tail, 2: "y"}
 
 
-def test_tokens(docs, empty):
+def test_tokens(spark, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
+    docs = docs.unionByName(spark.createDataFrame([(20, "a <|endoftext|> b"), (21, "x<|endoftext|>\n\n<|endoftext|>.  <|endoftext"), (22, LONG * 4 + "<|endoftext|> tail")], "doc_id long, text string"), allowMissingColumns=True)
     want = sorted((i, len(e.ids) + 1, zlib.crc32(np.array([*e.ids, 0], "<u4").tobytes())) for (i, x) in text_of(docs) for e in [t.encode(x, add_special_tokens=False)])
     got = token_file.read_tokens(token_file.write_tokens(docs, JSON, file_ids=20_000)).orderBy("start").collect()
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
@@ -137,6 +137,10 @@ def test_classifiers(spark, docs, empty):
     assert s.score(["what a vilename and more calm words"])[0] > 0.5 > s.score(["what a day and more calm words"])[0]
     far = "calm words here " * 400 + "plain vilename day " + "calm words here " * 400
     assert s.score([far])[0] > 0.5
+    for n in (160, 2500):  # in a run without white space
+        run = "".join(rng.choice(["calm", "words", "here", "plain", "and", "more", "day", "what"], n // 2))
+        assert s.score([run + "vilename" + run])[0] > 0.5 > s.score([run + run])[0]
+        assert s.score(["what a day " + run + "vilename" + run + " and more calm"])[0] > 0.5
     got = toxicity.score_toxicity(docs, net).collect()
     assert len(got) == 11 and all(0 <= r.score <= 1 for r in got)
     kept = toxicity.with_toxicity(docs, net)
@@ -165,6 +169,12 @@ def test_null_ids(spark):
     assert [r.doc_id for r in token_file.read_tokens(token_file.write_tokens(df, JSON)).orderBy("start").collect()] == [None, None, None, 3, 4]
     assert packing.pack_documents(df, JSON).count() == 5
     assert bpe.bpe_digests(df, RANKS, public_tokenizers.PATTERN).count() == 5
+    trees = quality.fit(np.array([quality.statistics(x) for x in ("a b", "c d. e")]), np.array([0.0, 1.0]))
+    assert quality.score_quality(df, trees).filter("doc_id is null and score is not null").count() == 3
+    net = toxicity.fit([("a b", 0), ("c d", 1)])
+    assert toxicity.score_toxicity(df, net).filter("doc_id is null and score is not null").count() == 3
+    largest = spark.createDataFrame([(2**63 - 1, shared), (1, shared), (None, "z" + shared)], "doc_id long, text string")
+    assert {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.removed_spans(largest).collect()} == {(2**63 - 1, b""), (1, shared.encode()), (None, b"z")}
 
 
 def test_a_very_long_text(spark):
@@ -178,7 +188,16 @@ def test_a_very_long_text(spark):
     n = len(t.encode(long, add_special_tokens=False).ids)
     got = {r.doc_id: r.n_tokens for r in token_file.read_tokens(token_file.write_tokens(df.filter("doc_id = 1"), JSON)).collect()}
     assert got == {1: n + 1}
-    assert bpe.bpe_digests(df.filter("doc_id = 1"), RANKS, public_tokenizers.PATTERN).first().n_tokens == n
+    ids = np.array(t.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+    digest = bpe.bpe_digests(df.filter("doc_id = 1"), RANKS, public_tokenizers.PATTERN).first()
+    assert (digest.n_tokens, digest.ids_sha256, digest.decoded_sha256) == (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(long.encode()).hexdigest())
+    pieces = packing.pack_documents(df.filter("doc_id = 1"), JSON).collect()
+    assert sum(r.length for r in pieces) == n + 1 and all(zlib.crc32((ids + bytes(4))[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for r in pieces)
+    trees = quality.fit(np.array([quality.statistics(x) for x in ("a b", "c d. e")]), np.array([0.0, 1.0]))
+    assert quality.score_quality(df, trees).count() == toxicity.score_toxicity(df, toxicity.fit([("a b", 0), ("c d", 1)])).count() == 2
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn int, role string, text string")
+    got = chat.chat_digests(chat.format_chats(turns)).first()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
     assert simhash.simhash_groups(df).count() == exact_dedup.exact_dedup(df).count() == 2
 
 
@@ -194,6 +213,23 @@ def test_chat(spark):
             loss = "".join(x for _, r, x in own if r == "assistant")
             assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.format_chats(turns.limit(0)).count() == 0
+    bare = chat.chat_digests(chat.format_chats(spark.createDataFrame([(None, 1, "user", "b"), (None, None, "user", "a"), (4, None, "assistant", "c")], turns.drop("segment").schema))).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.turns_sha256) for r in bare) == [(0, 2, hashlib.sha256(b"user\na\nuser\nb\n").hexdigest()), (4, 1, hashlib.sha256(b"assistant\nc\n").hexdigest())]
+
+
+def test_a_very_long_conversation(spark):
+    """It is rendered by ranges of its turns and read back in order."""
+    turns = spark.range(20_000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), "id", F.lit(" </s>")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows meet in one task
+    try:
+        made = chat.format_chats(turns.union(turns.limit(5).withColumn("conv_id", F.lit(8).cast("long"))), 4096)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert made.filter("conv_id = 7").select((F.col("segment") / 2**32).cast("int")).distinct().count() > 1
+    got = chat.chat_digests(made).filter("conv_id = 7").first()
+    said = [(("user", "assistant")[i % 2], f"turn {i} </s>") for i in range(20_000)]
+    assert (got.n_turns, got.turns_sha256) == (20_000, hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in said).encode()).hexdigest())
+    assert got.loss_sha256 == hashlib.sha256("".join(x for r, x in said if r == "assistant").encode()).hexdigest()
 
 
 def test_chat_events(spark):

@@ -4,6 +4,8 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from lithoframe.llm import queries, toxicity
@@ -68,3 +70,55 @@ def test_stages(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+ROWS = [
+    (1, "the first text that is long enough to be found in another text again, word by word", "en"),
+    (2, "a text of its own", None),
+    (2, "other text under the same id", "en"),
+    (2, "a text of its own", None),
+    (None, "a text without an id", "en"),
+    (None, "a text without an id", "en"),
+    (3, "a text without an id", "en"),
+    (4, None, "en"),
+    (5, "", "en"),
+    (6, "more. the first text that is long enough to be found in another text again, word by word", "de"),
+    (7, "end. " * 60_000, "en"),
+]
+
+
+def own_docs(spark, path=None):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
+    for c in ("row", "row_", "kept", "keep_id", "toxicity_score", "member", "of", "starts", "component_id", "_metadata"):
+        df = df.withColumn(c, F.concat(F.lit("x"), F.monotonically_increasing_id()))
+    if path:
+        df.repartition(3).write.parquet(path)
+        return spark.read.parquet(path)
+    return df
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_stages_tell_rows_apart(spark, tmp_path, from_files):
+    """Rows that repeat an id or have none, null and empty texts, clashing columns, no ``n_chars``."""
+    docs = own_docs(spark, str(tmp_path / "docs") if from_files else None)
+    got = pipeline.toxicity(spark, docs, DATA)
+    assert got.columns == docs.columns
+    got = pipeline.exact(spark, docs, DATA)
+    assert got.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted((i or 0, (t or "")[:24]) for i, t in rows) == sorted([(1, ROWS[0][1][:24]), (2, ROWS[1][1][:24]), (2, ROWS[2][1][:24]), (3, ROWS[4][1][:24]), (5, ""), (6, ROWS[9][1][:24]), (7, ROWS[10][1][:24])])
+    got = pipeline.near(spark, docs, DATA)
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == docs.columns and sorted((i or 0, (t or "")[:24]) for i, t in rows) == sorted([(1, ROWS[0][1][:24]), (2, ROWS[1][1][:24]), (2, ROWS[2][1][:24]), (3, ROWS[4][1][:24]), (4, ""), (6, ROWS[9][1][:24]), (7, ROWS[10][1][:24])])
+    got = pipeline.substrings(spark, docs, DATA)
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == docs.columns
+    assert sorted((i or 0, t is None, (t or "")[:24]) for i, t in rows) == sorted((i or 0, t is None, (t or "")[:24] if i != 6 else "more. ") for i, t, _ in ROWS)
+    assert pipeline.packing(spark, docs, DATA).select("doc_id").count() >= len(ROWS)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    queries.table(spark, DATA, "documents").limit(0).write.parquet(str(tmp_path / "none"))
+    docs = spark.read.parquet(str(tmp_path / "none"))
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, DATA).count() == 0
