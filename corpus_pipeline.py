@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one
 before it kept; all but the last return the columns of ``documents``. A stage's
 result is written as Parquet in the shared folder and read again.
+
+A stage tells rows apart by numbers of its own, never by ``doc_id``: rows that
+repeat an id, and rows without one, are rows like others. A null text is empty
+to every stage, and stays null where nothing is cut from it. Other columns pass
+through, whatever their names; ``n_chars`` follows the text where it is there.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import written
+from lithoframe.llm.common import with_row, written
 from lithoframe.llm.exact_dedup import exact_dedup
 from lithoframe.llm.packing import pack_documents
 from lithoframe.llm.queries import table, tokenizer
@@ -19,32 +25,44 @@ from lithoframe.llm.suffix_dedup import removed_spans
 from lithoframe.llm.toxicity import train_toxicity, with_toxicity
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``dropped``; the few that go decide how the join is done."""
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5."""
+    """Rows that score under 0.5."""
     net = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    return with_toxicity(docs, net, score_col="toxicity_score").filter("toxicity_score < 0.5").select(*docs.columns)
+    score = "toxicity_score"
+    while score in docs.columns:
+        score += "_"
+    return with_toxicity(docs, net, score_col=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document of the largest id."""
-    return _without(docs, exact_dedup(docs).filter("not kept"))
+    """Of equal texts, the row of the largest id; one row of those that tie in it. An id ranks above none."""
+    rows, row = with_row(docs)
+    dropped = exact_dedup(rows, row_col=row).filter("not kept").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id."""
-    return _without(docs, simhash_groups(docs).filter("component_id <> doc_id"))
+    """Of each group of near-duplicates, the row of the smallest id; one row of those that tie in it. An id ranks before none."""
+    rows, row = with_row(docs)
+    groups = written(simhash_groups(rows, id_col=row).select(F.col("doc_id").alias("member"), F.col("component_id").alias("of")), "groups")
+    others = groups.filter("member <> of")
+    members = others.union(others.select(F.col("of").alias("member"), "of").distinct())
+    ranked = members.join(rows.select(F.col(row).alias("member"), "doc_id"), "member")
+    first = ranked.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member"))["member"].alias("member"))
+    dropped = members.join(first.select("member"), "member", "left_anti").select(F.col("member").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of smaller id has; ``n_chars`` follows."""
-    kept = removed_spans(docs, kept="text").select("doc_id", F.col("kept").alias("text"))
-    rest = docs.drop("text", "n_chars").join(kept, "doc_id")
-    return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Rows without the passages that a row of smaller id has; rows that share an id take nothing from each other."""
+    rows, row = with_row(docs)
+    kept, none = f"{row}_kept", f"{row}_none"
+    cut = removed_spans(rows, kept="text", row_col=row).select(F.col("row").alias(row), F.col("kept").alias(kept))
+    found = rows.withColumn(none, F.col("text").isNull()).drop("text").join(cut, row)
+    new = {"text": F.when(~F.col(none), F.col(kept))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(none), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
