@@ -35,7 +35,7 @@ from lithoframe.llm.suffix_sort import least_owner
 from lithoframe.llm.token_file import file_system, put
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-SLICE = 1 << 20
+SLICE = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 ROW = "shard int, block long, path string, kind int, data binary"
 ROW_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -111,6 +111,28 @@ class Block:
         self.hash, self.doc, self.place, self.windows = join(0, np.uint64), join(1, np.int32), join(2, np.int64), join(3, np.int64)
         return self
 
+    def write_runs(self, path: str, cuts: np.ndarray, own: np.ndarray) -> None:
+        """What is left to know of the runs once minimizers are numbered: ``cuts`` of the numbers by shard, runs a document, windows, numbers."""
+        fs, name = file_system(path)
+        parts = cuts.astype("<i8"), np.bincount(self.doc, minlength=len(self.ids)).astype("<i4"), self.windows.astype("<u1"), own.astype("<i4")
+        put(fs, name, _row(0, 0, "", 0, *parts)[4])
+
+    def read_runs(self, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """The runs again, but for their hashes; returns the cuts and the numbers of the minimizers."""
+        fs, name = file_system(path)
+        with fs.open_input_stream(name) as f:
+            raw = f.read()
+        cuts, count, windows, own = (np.frombuffer(p, t) for p, t in zip(_parts(raw), ("<i8", "<i4", "u1", "<i4"), strict=True))
+        self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        self.windows = windows.astype(np.int64)
+        # Runs of a document follow each other without gaps, from its first byte.
+        before = np.cumsum(self.windows) - self.windows
+        first = np.cumsum(count, dtype=np.int64) - count
+        starts = np.concatenate([[0], self.ends[:-1]])
+        held = count > 0
+        self.place = before + np.repeat(starts[held] - before[first[held]], count[held])
+        return cuts, own
+
     def write(self, path: str) -> None:
         fs, name = file_system(path)
         fs.create_dir(name.rpartition("/")[0], recursive=True)
@@ -238,8 +260,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 block = Block(own, np.array(numbers, np.int64), np.array([i is not None for i in ids]), np.cumsum([len(t) for t in texts]), b"".join(texts), width).find_runs(k)
                 key, path = (part << 24) + number, f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}"
                 block.write(path)
-                h, many, _ = block.distinct()
+                h, many, numbered = block.distinct()
                 cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+                block.write_runs(f"{path}-found", cuts, numbered)
                 for s in range(shards):
                     a, b = int(cuts[s]), int(cuts[s + 1])
                     # Each shard answers each block, if only to name it.
@@ -263,11 +286,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         yield from _emit(rows())
 
-    def wanted_of(block: Block, got: list[tuple]) -> np.ndarray:
+    def wanted_of(cuts: np.ndarray, own: np.ndarray, got: list[tuple]) -> np.ndarray:
         """Runs whose minimizer another document has."""
-        h, _, own = block.distinct()
-        cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-        known = np.zeros(len(h), bool)
+        known = np.zeros(int(cuts[-1]), bool)
         for r in got:
             if r[3] == 1:
                 a, b = int(cuts[r[0]]), int(cuts[r[0] + 1])
@@ -277,12 +298,13 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def send(batches):
         def rows():
             for key, got in _groups(batches, 1):
-                block = Block.read(path := got[0][2], width).find_runs(k)
-                wanted = wanted_of(block, got)
+                block = Block.read(path := got[0][2], width)
+                by_shard, number = block.read_runs(f"{path}-found")
+                wanted = wanted_of(by_shard, number, got)
                 strings, own, first = block.strings(wanted)
                 least = np.full(len(strings), np.iinfo(np.int64).max)
                 np.minimum.at(least, own, block.ids[block.doc[wanted]])
-                shard = shard_of(block.hash[first], shards)
+                shard = np.searchsorted(by_shard, number[first], side="right") - 1
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
                 # What the last step needs of each wanted run: document, first window, windows, string in shard order.
