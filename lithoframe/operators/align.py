@@ -7,11 +7,11 @@ depth with every segment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.functions.scalar import correlation
-
 
 def segments(t: DataFrame, key: list[str] | None = None, bucket: float = 64.0) -> DataFrame:
     """Typewell rows with the next row's depth and GR, once for each bucket they touch. The ends reach out to hold all depths."""
@@ -108,23 +108,30 @@ def boundaries(t: DataFrame, key: list[str] | None = None, label: str = "Geology
     return t.withColumn("__before", F.lag(label).over(w)).filter(F.col(label) != F.col("__before")).select(*(key or []), F.col("TVT").alias("boundary"))
 
 
-def boundary_distance(rows: DataFrame, at: str, t: DataFrame, key: list[str] | None = None, out: str = "boundary_dist") -> DataFrame:
-    """``rows`` with the distance from depth ``at`` to the nearest boundary; NULL without boundaries.
+def boundary_distance(rows: DataFrame, at: str, t: DataFrame, key: list[str] | None = None, out: str = "boundary_dist", nearest: str | None = None, bucket: float = 64.0) -> DataFrame:
+    """``rows`` with the distance from depth ``at`` to the nearest boundary and, if named, that boundary as ``nearest``.
 
-    Boundaries and depths are merged in order of depth; the last boundary
-    before and the first after come from the merge.
+    Of two that are as near, the lesser. NULL without boundaries or depth. A
+    depth finds the two boundaries around it by an equi-join on buckets of depth.
     """
     key = key or []
-    marked = rows.withColumn("__row", F.struct(*rows.columns))
-    cuts = boundaries(t, key or None).select(*key, F.col("boundary").alias("__x"), F.lit(None).cast(marked.schema["__row"].dataType).alias("__row"))
-    merged = marked.select(*key, F.col(at).alias("__x"), "__row").unionByName(cuts)
-    part = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
-    cut = F.when(F.col("__row").isNull(), F.col("__x"))
-    w = part.orderBy("__x")
-    left = F.last(cut, True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    right = F.first(cut, True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    near = F.least(F.abs(F.col("__x") - left), F.abs(right - F.col("__x")))
-    return merged.withColumn(out, near).filter("__row is not null").select("__row.*", out)
+    cuts = boundaries(t, key or None).distinct()
+    w = (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))).orderBy("boundary")
+    spans = cuts.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("boundary").alias("__l"), F.lead("boundary").over(w).alias("__r"))
+    spans = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__l") / bucket), F.floor(F.coalesce("__r", "__l") / bucket))))
+    ends = cuts.groupBy(*key).agg(F.min("boundary").alias("__lo"), F.max("boundary").alias("__hi"))
+    if key:
+        placed = rows.join(ends, key, "left").select(*rows.columns, "__lo", "__hi")
+    else:
+        lo, hi = ends.first()
+        placed = rows.withColumns({"__lo": F.lit(lo).cast("double"), "__hi": F.lit(hi).cast("double")})
+    inner = F.when(F.col(at).isNotNull(), F.greatest(F.least(F.col(at), F.col("__hi")), F.col("__lo")))
+    placed = placed.withColumn("__d", inner).withColumn("__at", F.floor(F.col("__d") / bucket))
+    inside = (F.col("__d") >= F.col("__l")) & ((F.col("__d") < F.col("__r")) | F.col("__r").isNull())
+    met = placed.join(spans, [F.col("__at") == F.col("__cell"), *[F.col(k) == F.col(f"__{k}") for k in key], inside], "left")
+    left = F.col("__r").isNull() | (F.col(at) - F.col("__l") <= F.col("__r") - F.col(at))
+    near = F.when(left, F.col("__l")).otherwise(F.col("__r"))
+    return met.select(*[F.col(c) for c in rows.columns], F.abs(F.col(at) - near).alias(out), *([near.alias(nearest)] if nearest else []))
 
 
 def resample(t: DataFrame, step: float = 1.0, key: list[str] | None = None) -> DataFrame:
@@ -139,11 +146,65 @@ def resample(t: DataFrame, step: float = 1.0, key: list[str] | None = None) -> D
 SEARCH = list(range(-120, 121))
 
 
-def shifted_correlation(rows: DataFrame, anchor: str, t: DataFrame, offsets: list[int], key: str = "well", order: str = "row_idx", half: int = 15) -> DataFrame:
-    """Per row, the offset whose typewell GR correlates best with GR over the rows within ``half``: ``xcorr_best_corr, xcorr_tvt_delta, xcorr_best_absdiff``."""
-    spread = rows.select(key, order, "GR", anchor, F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("__at", F.col(anchor) + F.col("offset"))
-    found = interpolate(spread, "__at", t, bucket=2.0)
-    w = Window.partitionBy(key, "offset").orderBy(order).rowsBetween(-half, half)
-    scored = found.withColumn("c", correlation("GR", "tw_gr", w)).filter(F.col("c").isNotNull())
-    best = F.max(F.struct("c", (-F.abs(F.col("offset"))).alias("near"), "offset", F.abs(F.col("GR") - F.col("tw_gr")).alias("gap")))
-    return scored.groupBy(key, order).agg(best.alias("m")).select(key, order, F.col("m.c").alias("xcorr_best_corr"), F.col("m.offset").alias("xcorr_tvt_delta"), F.col("m.gap").alias("xcorr_best_absdiff"))
+def _pair_correlation(x: np.ndarray, y: np.ndarray, half: int) -> np.ndarray:
+    """Correlation of a log ``x`` with each column of ``y`` over the rows within ``half``, of pairs that are there; NaN where one side does not vary."""
+    ok = np.isfinite(x)[:, None] & np.isfinite(y)
+    centre = lambda v: v - (np.nanmean(v) if np.isfinite(v).any() else 0.0)
+    x, y = np.where(ok, centre(x)[:, None], 0.0), np.where(ok, centre(y), 0.0)
+    n = len(ok)
+    lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
+
+    def near(v: np.ndarray) -> np.ndarray:
+        c = np.concatenate([np.zeros((1, v.shape[1])), v.cumsum(axis=0)])
+        return c[hi] - c[lo]
+
+    m = np.maximum(near(ok.astype(float)), 1)
+    sx, sy = near(x), near(y)
+    vx, vy = near(x * x) - sx * sx / m, near(y * y) - sy * sy / m
+    flat = (vx <= 1e-9 * m) | (vy <= 1e-9 * m)
+    return np.where(flat, np.nan, (near(x * y) - sx * sy / m) / np.sqrt(np.where(flat, 1, vx * vy)))
+
+
+def shifted_correlation(rows: DataFrame, anchor: str, t: DataFrame, offsets: list[int], key: str = "well", order: str = "row_idx", half: int = 15, segment: int = 2048, bucket: float = 64.0) -> DataFrame:
+    """Per row, the offset whose typewell GR correlates best with GR over the rows within ``half``: ``xcorr_best_corr, xcorr_tvt_delta, xcorr_best_absdiff``.
+
+    Correlations that agree to nine places tie; the offset nearest to 0 wins,
+    then the larger. Rows for which no offset has a correlation are left out. A
+    well is dealt in segments, which also get the ``half`` rows on either side
+    and the stretch of the typewell that their depths reach; ``order`` numbers
+    a well's rows from 0 without gaps.
+    """
+    own = F.floor(F.col(order) / segment)
+    at = F.col(order) % segment
+    cells = F.array_distinct(F.array(own, F.when(at < half, F.greatest(own - 1, F.lit(0))).when(at >= segment - half, own + 1).otherwise(own)))
+    dealt = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col("GR").cast("double").alias("gr"), F.col(anchor).cast("double").alias("at"), F.explode(cells).alias("cell"))
+    lo, hi = t.agg(F.min("TVT"), F.max("TVT")).first()
+    held = lambda c: F.greatest(F.least(c, F.lit(hi).cast("double")), F.lit(lo).cast("double"))
+    reach = dealt.groupBy("key", "cell").agg(held(F.min("at") + min(offsets)).alias("a"), held(F.max("at") + max(offsets)).alias("b"))
+    wanted = reach.filter("a is not null").select("key", "cell", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor(F.col("b") / bucket))).alias("bucket"))
+    parts = segments(t, None, bucket).join(wanted, "bucket").select(F.col("key").alias("of_key"), F.col("cell").alias("of_cell"), "t0", "g0", "t1", "g1").distinct()
+    kind = dict(rows.dtypes)
+    steps = np.array(offsets, float)
+    rank = np.lexsort((-steps, np.abs(steps)))
+
+    def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        p, q = p.sort_values("order", kind="stable"), q.sort_values("t0", kind="stable")
+        names = ["key", "order", "xcorr_best_corr", "xcorr_tvt_delta", "xcorr_best_absdiff"]
+        if not len(q) or not len(p):
+            return pd.DataFrame(columns=names)
+        last = q.iloc[-1]
+        xs, ys = q["t0"].to_numpy(float), q["g0"].to_numpy(float)
+        if np.isfinite(last["t1"]):
+            xs, ys = np.append(xs, last["t1"]), np.append(ys, last["g1"])
+        gr, depth = p["gr"].to_numpy(float), p["at"].to_numpy(float)[:, None] + steps[rank]
+        tw = np.where(np.isfinite(depth), np.interp(depth, xs, ys), np.nan)
+        c = np.round(_pair_correlation(gr, tw, half), 9)
+        found = np.isfinite(c).any(axis=1) & (p["order"].to_numpy() // segment == p["cell"].to_numpy())
+        at = np.where(np.isfinite(c), c, -np.inf).argmax(axis=1)
+        line = np.arange(len(p))
+        out = pd.DataFrame({"key": p["key"].to_numpy(), "order": p["order"].to_numpy(), names[2]: c[line, at], names[3]: steps[rank][at].astype(int), names[4]: np.abs(gr - tw[line, at])})
+        return out[found]
+
+    schema = f"key {kind[key]}, order {kind[order]}, xcorr_best_corr double, xcorr_tvt_delta int, xcorr_best_absdiff double"
+    made = dealt.groupBy("key", "cell").cogroup(parts.groupBy("of_key", "of_cell")).applyInPandas(best, schema)
+    return made.withColumnsRenamed({"key": key, "order": order})

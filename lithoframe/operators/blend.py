@@ -43,7 +43,7 @@ def nonnegative_ridge(a: np.ndarray, b: np.ndarray, alpha: float = 1.0) -> np.nd
     w, active = np.zeros(len(b)), np.zeros(len(b), bool)
     for _ in range(30 * len(b) + 30):
         slope = b - a @ w
-        if active.all() or slope[~active].max() <= 1e-9 * max(1.0, np.abs(b).max()):
+        if active.all() or slope[~active].max() <= 1e-13 * max(1.0, np.abs(b).max()):
             break
         active[np.argmax(np.where(active, -np.inf, slope))] = True
         while True:

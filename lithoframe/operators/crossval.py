@@ -60,20 +60,23 @@ def assembled(df: DataFrame, features: list[str], out: str = "features") -> Data
     return VectorAssembler(inputCols=names, outputCol=out).transform(filled).drop(*names)
 
 
-def out_of_fold(train: DataFrame, features: list[str], target: str, folds: DataFrame, test: DataFrame | None = None, ids: tuple[str, ...] = ("well", "row_idx"), residual_to: str | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
+def out_of_fold(train: DataFrame, features: list[str], target: str, folds: DataFrame, test: DataFrame | None = None, ids: tuple[str, ...] = ("well", "row_idx"), residual_to: str | None = None, rounds: list[int] | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
     """Gradient-boosted trees per fold: predictions of each row by the model that did not see its well, and the mean over folds for ``test``.
 
     With ``residual_to`` the target is relative to that column, which is added
-    back. Early stopping watches the held-out fold.
+    back. Early stopping watches the held-out fold; the trees that each fold's
+    model kept are added to ``rounds``.
     """
     offset = F.col(residual_to) if residual_to else F.lit(0.0)
     settings = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42, "maxBins": 64} | options
     rows = assembled(with_folds(train, folds).filter(F.col(target).isNotNull()), features).withColumn("__y", F.col(target) - offset).cache()
     ready = assembled(test, features) if test is not None else None
     oof, preds = [], []
+    rounds = [] if rounds is None else rounds
     for k in sorted(r[0] for r in folds.select("fold").distinct().collect()):
         marked = rows.withColumn("__held", F.col("fold") == k)
         model = GBTRegressor(featuresCol="features", labelCol="__y", validationIndicatorCol="__held", **settings).fit(marked)
+        rounds.append(model.getNumTrees)
         oof.append(model.transform(rows.filter(F.col("fold") == k)).select(*ids, (F.col("prediction") + offset).alias("tvt_pred"), target, F.col("TVT_input").isNull().alias("is_hidden"), "fold"))
         if ready is not None:
             preds.append(model.transform(ready).select(*ids, (F.col("prediction") + offset).alias("pred"), F.col("TVT_input").isNull().alias("is_hidden")))
@@ -81,6 +84,31 @@ def out_of_fold(train: DataFrame, features: list[str], target: str, folds: DataF
     return reduce(DataFrame.unionByName, oof), mean
 
 
+def train_run(train: DataFrame, test: DataFrame, features: list[str], target: str, folder: str, seeds: tuple[int, ...] = (42,), n_splits: int = 5, pseudo: bool = False, **options) -> dict[str, float]:
+    """A whole training run: out-of-fold and test predictions, averaged over ``seeds``, written below ``folder`` as ``oof`` and ``test``.
+
+    With ``pseudo`` a second round trains on the test rows too, with their
+    predictions of the first as targets, and its test predictions are written.
+    Returns the error over all rows and over hidden ones, and the mean number
+    of trees kept, cut to a whole number.
+    """
+    kept: list[int] = []
+    made = [out_of_fold(train, features, target, fold_map(train, n_splits, s), test, rounds=kept, **options) for s in seeds]
+    union = lambda k: reduce(DataFrame.unionByName, [m[k] for m in made])
+    oof = union(0).groupBy("well", "row_idx").agg(F.avg("tvt_pred").alias("tvt_pred"), F.first(target).alias(target), F.bool_or("is_hidden").alias("is_hidden"))
+    preds = union(1).groupBy("well", "row_idx").agg(F.avg("tvt_pred").alias("tvt_pred"), F.bool_or("is_hidden").alias("is_hidden"))
+    oof.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/oof")
+    preds.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/test")
+    if pseudo:
+        first = train.sparkSession.read.parquet(f"{folder}/test")
+        more = pseudo_labelled(train, first, test, target)
+        again = [out_of_fold(more, features, target, fold_map(more, n_splits, s), test, **options)[1] for s in seeds]
+        last = reduce(DataFrame.unionByName, again).groupBy("well", "row_idx").agg(F.avg("tvt_pred").alias("tvt_pred"), F.bool_or("is_hidden").alias("is_hidden"))
+        last.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/test_pseudo")
+    r = train.sparkSession.read.parquet(f"{folder}/oof").agg(rmse(target, "tvt_pred").alias("all"), rmse(target, "tvt_pred", F.col("is_hidden")).alias("hidden")).first()
+    return {"rmse": r["all"], "rmse_hidden": r["hidden"], "mean_best_iter": int(np.mean(kept))}
+
+
 def multi_seed(df: DataFrame, seeds: list[int], n_splits: int = 5, key: str = "well") -> DataFrame:
     """``key, seed, fold`` for several seeds."""
     return reduce(DataFrame.unionByName, [fold_map(df, n_splits, s, key).withColumn("seed", F.lit(s)) for s in seeds])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.scalar import solve3
+from lithoframe.sources.scratch import stored
 
 
 def centroids(rows: DataFrame, tops: list[str], key: str = "well") -> DataFrame:
@@ -56,10 +57,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, scale: tuple[float, f
         top = met.withColumn("dist", dist).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         whole = width > extent
         full = top.select("qid", *points.columns, "dist", "rank").withColumn("last", F.max(F.when(F.col("rank") == k, F.col("dist"))).over(Window.partitionBy("qid")))
-        done.append((full if whole else full.filter(F.col("last") <= width)).drop("last"))
+        # Each round is written once; later rounds read it and not what made it.
+        done.append(stored((full if whole else full.filter(F.col("last") <= width)).drop("last"), "near"))
         if whole:
             break
-        todo = todo.join(done[-1].select("qid").distinct(), "qid", "left_anti")
+        todo = stored(todo.join(done[-1].filter("rank = 1").select("qid"), "qid", "left_anti").select(*queries.columns), "todo")
         if todo.isEmpty():
             break
         width *= 2

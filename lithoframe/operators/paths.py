@@ -75,20 +75,43 @@ def particle_path(gr: np.ndarray, z: np.ndarray, md: np.ndarray, tw_tvt: np.ndar
 
 
 def self_match(seen_gr: np.ndarray, seen_tvt: np.ndarray, gr: np.ndarray, half: int, stride: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Per hidden row, the TVT at the centre of the visible window that correlates best with the row's own, and that correlation; NaN if too little is visible."""
-    win = 2 * half + 1
-    if len(seen_gr) < win or not len(gr):
-        return np.full(len(gr), np.nan), np.full(len(gr), np.nan)
-    starts = np.arange(0, len(seen_gr) - win + 1, stride)
-    norm = lambda a: (a - a.mean(1, keepdims=True)) / (a.std(1, keepdims=True) + 1e-6)
-    c = norm(seen_gr[starts[:, None] + np.arange(win)])
-    padded = np.pad(gr, half, mode="edge")
-    best, score = np.zeros(len(gr), np.int64), np.zeros(len(gr))
-    for i in range(0, len(gr), 1024):
-        h = norm(np.lib.stride_tricks.sliding_window_view(padded, win)[i : i + 1024])
-        ncc = h @ c.T / win
-        best[i : i + 1024], score[i : i + 1024] = ncc.argmax(1), ncc.max(1)
-    return seen_tvt[np.clip(starts[best] + half, 0, len(seen_tvt) - 1)], score
+    """Per hidden row, the TVT at the centre of the visible window that correlates best with the row's own, and that correlation; NaN if too little is visible.
+
+    A window is the rows within ``half``; a hidden log's ends are repeated
+    beyond it, visible windows start every ``stride`` rows. Pairs of windows at
+    one lag overlap, so their products come from one running sum for each lag,
+    and no more than a few logs are held. Of correlations that agree to nine
+    places the first window wins.
+    """
+    win, n = 2 * half + 1, len(gr)
+    starts = len(seen_gr) - win + 1
+    if starts < 1 or not n:
+        return np.full(n, np.nan), np.full(n, np.nan)
+    level = seen_gr.mean()
+    seen, own = seen_gr - level, np.concatenate([np.full(half, gr[0]), gr, np.full(half, gr[-1])]) - level
+
+    def moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (v, v * v))
+        mean = (total[win:] - total[:-win]) / win
+        return mean, np.sqrt(np.maximum((square[win:] - square[:-win]) / win - mean * mean, 0)) + 1e-6
+
+    (mean_own, size_own), (mean_seen, size_seen) = moments(own), moments(seen)
+    best, where = np.full(n, -np.inf), np.zeros(n, np.int64)
+    for lag in range(1 - n, starts):
+        first, last = max(0, -lag), min(n, starts - lag)
+        first += (-(first + lag)) % stride
+        if first >= last:
+            continue
+        running = np.cumsum(own[first : last + win - 1] * seen[first + lag : last + lag + win - 1])
+        running = np.concatenate([[0.0], running])
+        i = np.arange(first, last, stride)
+        s = i + lag
+        product = (running[win:] - running[:-win])[::stride] / win
+        c = np.round((product - mean_own[i] * mean_seen[s]) / (size_own[i] * size_seen[s]), 9)
+        now = best[i]
+        better = (c > now) | ((c == now) & (s < where[i]))
+        best[i[better]], where[i[better]] = c[better], s[better]
+    return seen_tvt[where + half], best
 
 
 def spectrum(v: np.ndarray) -> tuple[float, float]:

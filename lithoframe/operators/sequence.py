@@ -65,10 +65,20 @@ def dogleg(w) -> dict[str, Column]:
 
 
 def cumulative(w) -> dict[str, Column]:
-    """Running sum of GR, and running sums of step signs and of log steps in place of a product that overflows."""
+    """Running sum of GR, and the size of the steps of Z; ``cumulative_product`` has their running product."""
     now = w.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.abs(F.col("Z") - F.lag("Z", 1).over(w))
-    return {"GR_cumsum": F.sum("GR").over(now), "dZ_abs": step}
+    return {"GR_cumsum": F.sum("GR").over(now), "dZ_abs": F.abs(F.col("Z") - F.lag("Z", 1).over(w))}
+
+
+def cumulative_product(df: DataFrame, w, value: str = "Z") -> DataFrame:
+    """``df`` with the running product of the steps of ``value``, as ``d<value>_prod_sign`` (0 from a step of 0 on) and ``d<value>_prod_log``, the logarithm of its size, which cannot overflow. Both NULL before the first step."""
+    step = F.col("__step")
+    now = w.rowsBetween(Window.unboundedPreceding, 0)
+    held = df.withColumn("__step", F.col(value) - F.lag(value, 1).over(w))
+    turned, zeros = F.sum((step < 0).cast("int")).over(now), F.sum((step == 0).cast("int")).over(now)
+    sign = F.when(zeros > 0, 0).otherwise(1 - 2 * (turned % 2))
+    size = F.sum(F.when(step != 0, F.log(F.abs(step)))).over(now)
+    return held.withColumns({f"d{value}_prod_sign": sign.cast("int"), f"d{value}_prod_log": size}).drop("__step")
 
 
 def anchor_aggregates(order: str = "row_idx", seen: str = "TVT_input") -> list[Column]:

@@ -52,7 +52,8 @@ def tail_mask(df: DataFrame, ratio: float | Column, key: str = "well", order: st
 
 def random_ratio(key: str = "well", seed: int = 42, low: float = 0.4, high: float = 0.85) -> Column:
     """A mask ratio per well between ``low`` and ``high``, set by a hash of its key."""
-    return F.lit(low) + F.lit(high - low) * F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    drawn = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), 1, 8), 16, 10).cast("double")
+    return F.lit(low) + F.lit(high - low) * drawn / 4294967296.0
 
 
 def finite_rates(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from lithoframe.functions import scalar
 from lithoframe.operators import align, blend, crossval, knn, paths, planefit, post, profile, sequence, statistics
 from lithoframe.plans import features
-from lithoframe.plans.fixtures import EV, POINTS, TOPS, TW, USER, USER_TW, point_queries, points, table, typewell, user_typewells, well_ev, well_user
-from lithoframe.sources import wells
+from lithoframe.plans.fixtures import EV, POINTS, TOPS, TW, USER, USER_TW, point_queries, points, table, typewell, user_typewells, well_ev, well_files, well_user
+from lithoframe.sources import scratch, wells
 from lithoframe.streaming import causal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ add("traj_deriv", lambda s, d: windows(well_ev(s, d), {k: v for k, v in sequence
 add("inclination", lambda s, d: windows(well_ev(s, d), {k: v for k, v in sequence.derivatives(W()).items() if k in ("lateral_velocity", "inclination")}), f"WITH {EV}, {DERIV} SELECT well, row_idx, {RS('lateral_velocity', 'inclination')} FROM der3")
 add("centred_roll", lambda s, d: windows(well_ev(s, d), sequence.centred("GR", W())), f"WITH {EV} SELECT well, row_idx, " + ", ".join(f"{R(f'avg(GR) {frame(k // 2, k // 2)}')} AS GR_centred_{k}" for k in (5, 21, 51, 101)) + " FROM ev")
 add("lag_lead", lambda s, d: windows(well_ev(s, d), sequence.shifts("GR", W())), f"WITH {EV} SELECT well, row_idx, " + ", ".join(f"{R(f'{f}(GR, {k}) {OVER}')} AS GR_{f}_{k}" for f in ("lag", "lead") for k in (1, 5, 15, 30)) + " FROM ev")
+def _product(s, d):
+    return sequence.cumulative_product(well_ev(s, d), W()).select(*ID, "dZ_prod_sign", "dZ_prod_log")
+
+
+add("cumulative_product", _product, f"WITH {EV}, st AS (SELECT well, row_idx, Z - lag(Z) {OVER} AS d FROM ev) SELECT well, row_idx, CAST(CASE WHEN sum((d = 0)::INTEGER) {OVER} > 0 THEN 0 ELSE 1 - 2 * (sum((d < 0)::INTEGER) {OVER} % 2) END AS INTEGER) AS dZ_prod_sign, {R(f'sum(CASE WHEN d <> 0 THEN ln(abs(d)) END) {OVER}')} AS dZ_prod_log FROM st")
 add("cumulative", lambda s, d: windows(well_ev(s, d), sequence.cumulative(W())), f"WITH {EV} SELECT well, row_idx, {R(f'sum(GR) {OVER}')} AS GR_cumsum, {R(f'abs(Z - lag(Z) {OVER})')} AS dZ_abs FROM ev")
 STEPS = ", ".join(f"{c} - lag({c}) {OVER} AS now_{c}, lag({c}) {OVER} - lag({c}, 2) {OVER} AS old_{c}" for c in "XYZ")
 add("dogleg", lambda s, d: windows(well_ev(s, d), sequence.dogleg(W())), f"""WITH {EV}, st AS (SELECT well, row_idx, {STEPS} FROM ev),
@@ -269,7 +274,7 @@ _OFF = align.OFFSETS["anchor"]
 add("tw_diff", lambda s, d: align.offset_bank(_anchored(s, d), "anchor", typewell(s, d)), f"{TWS}, {ANCHORED}, sp AS (SELECT well, row_idx, GR, anchor, unnest({_OFF}) AS o FROM an), i AS ({interp2('sp', 'anchor + o', 'well, row_idx, GR, o')}) SELECT well, row_idx, " + ", ".join(f"{R(f'max(GR - tw_gr) FILTER (o = {o})')} AS tw_diff_{'m' if o < 0 else 'p'}{abs(o)}" for o in _OFF) + " FROM i GROUP BY well, row_idx")
 _FIT = f"{TWS}, i AS ({interp2('(SELECT * FROM sh WHERE TVT_input IS NOT NULL)', 'TVT_input', 'well, GR')})"
 add("affine_cal", lambda s, d: align.affine_calibration(align.interpolate(_shifted(s, d).filter(scalar.visible()), "TVT_input", typewell(s, d))), f"{_FIT}, g AS (SELECT well, count(GR) AS n, stddev_pop(tw_gr) FILTER (GR IS NOT NULL) AS sd, regr_slope(GR, tw_gr) AS sl, regr_intercept(GR, tw_gr) AS ic, avg(GR) - avg(tw_gr) AS sh FROM i GROUP BY well) SELECT well, {R('CASE WHEN n < 20 OR sd IS NULL OR sd < 1e-6 THEN 1 ELSE sl END')} AS a_cal, {R('CASE WHEN n = 0 THEN 0 WHEN n < 20 OR sd IS NULL OR sd < 1e-6 THEN coalesce(sh, 0) ELSE ic END')} AS b_cal FROM g")
-add("nearest_gr", lambda s, d: align.nearest_value(_anchored(s, d).filter(scalar.hidden()), "anchor", typewell(s, d).withColumn("GR", F.col("GR") % 97)).select(*ID, "matched_tvt"), f"{TWS}, {ANCHORED}, g AS (SELECT TVT, GR % 97 AS GR FROM tw) SELECT well, row_idx, {R('arg_min(g.TVT, (abs(an.GR - g.GR), g.TVT))')} AS matched_tvt FROM an JOIN g ON g.TVT BETWEEN anchor - 40 AND anchor + 40 WHERE an.GR IS NOT NULL AND an.TVT_input IS NULL AND row_idx % 7 = 0 GROUP BY well, row_idx")
+add("nearest_gr", lambda s, d: align.nearest_value(_anchored(s, d).filter(scalar.hidden()), "anchor", typewell(s, d).withColumn("GR", F.col("GR") % 97)).select(*ID, "matched_tvt"), f"{TWS}, {ANCHORED}, g AS (SELECT TVT, GR % 97 AS GR FROM tw) SELECT well, row_idx, {R('arg_min(g.TVT, (abs(an.GR - g.GR), g.TVT))')} AS matched_tvt FROM an JOIN g ON g.TVT BETWEEN anchor - 40 AND anchor + 40 WHERE an.GR IS NOT NULL AND an.TVT_input IS NULL GROUP BY well, row_idx")
 add("match_shift", lambda s, d: align.match_shift(align.nearest_value(_anchored(s, d).filter(scalar.hidden()), "anchor", typewell(s, d).withColumn("GR", F.col("GR") % 97))), f"{TWS}, {ANCHORED}, g AS (SELECT TVT, GR % 97 AS GR FROM tw), m AS (SELECT well, arg_min(g.TVT, (abs(an.GR - g.GR), g.TVT)) - any_value(anchor) AS shift FROM an JOIN g ON g.TVT BETWEEN anchor - 40 AND anchor + 40 WHERE an.GR IS NOT NULL AND an.TVT_input IS NULL GROUP BY well, row_idx) SELECT well, {R('median(shift)')} AS ncc_med_shift, {R('avg(shift)')} AS ncc_mean_shift FROM m GROUP BY well")
 _EASE = f"""{TWS}, {ANCHORED}, h AS (SELECT *, min(row_idx) OVER (PARTITION BY well) AS a, count(*) OVER (PARTITION BY well) AS n FROM an WHERE TVT_input IS NULL), f AS (SELECT *, (row_idx - a)::DOUBLE / greatest(n - 1, 1) AS fr FROM h),
     sp AS (SELECT well, GR, anchor, 3 * fr ** 2 - 2 * fr ** 3 AS ease, unnest({align.ENDPOINTS}) AS endpoint FROM f), i AS ({interp2('sp', 'anchor + endpoint * ease', 'well, GR, endpoint')}), pa AS (SELECT well, CAST(endpoint AS INTEGER) AS endpoint, avg(abs(GR - tw_gr)) AS path_abs FROM i GROUP BY well, endpoint)"""
@@ -277,7 +282,11 @@ add("ease_path", lambda s, d: align.ease_paths(_anchored(s, d).filter(scalar.hid
 add("best_endpoint", lambda s, d: align.best_endpoint(align.ease_paths(_anchored(s, d).filter(scalar.hidden()), "anchor", typewell(s, d)), tau=50.0), f"{_EASE}, o AS (SELECT well, list(endpoint ORDER BY path_abs, endpoint) AS e, list(path_abs ORDER BY path_abs, endpoint) AS p, sum(exp(-path_abs / 50) * endpoint) / sum(exp(-path_abs / 50)) AS soft FROM pa GROUP BY well) SELECT well, e[1] AS best_endpoint, {R('p[2] - p[1]')} AS gap, {R('soft')} AS soft_endpoint FROM o")
 add("boundary_dist", lambda s, d: align.boundary_distance(_shifted(s, d).select(*ID, "TVT"), "TVT", typewell(s, d)).select(*ID, "boundary_dist"), f"{TWS}, b AS (SELECT TVT AS x FROM (SELECT TVT, Geology, lag(Geology) OVER (ORDER BY TVT) AS g FROM tw) WHERE Geology <> g), l AS (SELECT sh.well, sh.row_idx, sh.TVT, b.x AS lx FROM sh ASOF LEFT JOIN b ON sh.TVT >= b.x), r AS (SELECT l.*, b.x AS rx FROM l ASOF LEFT JOIN b ON l.TVT <= b.x) SELECT well, row_idx, {R('least(abs(TVT - lx), abs(rx - TVT))')} AS boundary_dist FROM r")
 add("tw_resample", lambda s, d: align.resample(typewell(s, d)).select("TVT", "GR"), f"WITH {TW}, {SEG}, g AS (SELECT unnest(generate_series((SELECT ceil(lo)::BIGINT FROM lim), (SELECT floor(hi)::BIGINT FROM lim)))::DOUBLE AS TVT) SELECT {R('TVT')} AS TVT, {R('tw_gr')} AS GR FROM ({interp2('g', 'TVT', 'TVT')})")
-add("xcorr", lambda s, d: align.shifted_correlation(_anchored(s, d), "TVT", typewell(s, d).withColumn("GR", F.col("GR") % 97), align.SEARCH), f"WITH {EV}, tw AS (SELECT 10000 + CAST(0.5 AS DOUBLE) * p_partkey AS TVT, CAST(p_retailprice AS DOUBLE) % 97 AS GR, p_brand AS Geology FROM part), {SEG}, sh AS (SELECT * REPLACE (TVT - {HALF} AS TVT) FROM ev WHERE row_idx < 150), sp AS (SELECT well, row_idx, GR, TVT, unnest([-40, -10, 0, 10, 40]) AS o FROM sh), i AS ({interp2('sp', 'TVT + o', 'well, row_idx, GR, o')}), c AS (SELECT well, row_idx, corr(GR, tw_gr) OVER (PARTITION BY well, o ORDER BY row_idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS c FROM i) SELECT well, row_idx, {R('max(c)')} AS xcorr_best_corr FROM c WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY well, row_idx")
+_XC = "row_number() OVER (PARTITION BY well, row_idx ORDER BY round(c, 9) DESC, abs(o), o DESC)"
+add("xcorr", lambda s, d: align.shifted_correlation(_anchored(s, d), "TVT", typewell(s, d).withColumn("GR", F.col("GR") % 97), align.SEARCH), f"""WITH {EV}, tw AS (SELECT 10000 + CAST(0.5 AS DOUBLE) * p_partkey AS TVT, CAST(p_retailprice AS DOUBLE) % 97 AS GR, p_brand AS Geology FROM part), {SEG}, sh AS (SELECT * REPLACE (TVT - {HALF} AS TVT) FROM ev),
+    sp AS (SELECT well, row_idx, GR, TVT, CAST(unnest(range(-120, 121)) AS INTEGER) AS o FROM sh), i AS ({interp2('sp', 'TVT + o', 'well, row_idx, GR, o')}),
+    w AS (SELECT *, CASE WHEN var_pop(CASE WHEN GR IS NOT NULL THEN tw_gr END) OVER f > 1e-9 AND var_pop(CASE WHEN tw_gr IS NOT NULL THEN GR END) OVER f > 1e-9 THEN corr(GR, tw_gr) OVER f END AS c FROM i WINDOW f AS (PARTITION BY well, o ORDER BY row_idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING))
+    SELECT well, row_idx, {R('round(c, 9)')} AS xcorr_best_corr, o AS xcorr_tvt_delta, {R('abs(GR - tw_gr)')} AS xcorr_best_absdiff FROM w WHERE c IS NOT NULL QUALIFY {_XC} = 1""")
 
 # Physics and post-processing.
 add("residual_target", lambda s, d: features.feature_table(well_ev(s, d)).select(*ID, post.residual().alias("residual")), f"WITH {EV}, {CONST} SELECT well, row_idx, {R('TVT - tvt_input_visible_last')} AS residual FROM ev JOIN con USING (well)")
@@ -288,7 +297,7 @@ _GRID = "unnest([0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]::DOUBLE[])"
 add("fade_in_grid", lambda s, d: post.fade_in_grid(_pred(s, d).filter("is_hidden").withColumns({"delta": F.col("p") - F.col("tvt_input_visible_last"), "error": F.col("TVT") - F.col("tvt_input_visible_last"), "md_since": F.col("md_to_visible_end")}), "delta", "error"), f"""{PRED}, r AS (SELECT p - tvt_input_visible_last AS delta, TVT - tvt_input_visible_last AS err, greatest(pred.MD - visible_md_max, 0) AS since FROM pred JOIN con USING (well) WHERE is_hidden), t AS (SELECT unnest([NULL, 25, 50, 100, 200]::DOUBLE[]) AS tau), g AS (SELECT {_GRID} AS alpha, tau FROM t)
     SELECT {R('alpha')} AS alpha, {R('tau')} AS tau, {R('sqrt(avg((err - alpha * delta * CASE WHEN tau IS NULL THEN 1 ELSE 1 - exp(-since / tau) END) ** 2))')} AS rmse FROM g, r GROUP BY alpha, tau""")
 add("fade_in", lambda s, d: _pred(s, d).select(*ID, post.fade_in(F.col("p") - F.col("tvt_input_visible_last"), "md_to_visible_end", 0.9, 50.0).alias("faded")), f"{PRED} SELECT well, row_idx, {R('0.9::DOUBLE * (p - tvt_input_visible_last) * (1 - exp(-greatest(pred.MD - visible_md_max, 0) / 50.0::DOUBLE))')} AS faded FROM pred JOIN con USING (well)")
-add("snap_clip", lambda s, d: align.boundary_distance(_shifted(s, d).select(*ID, "TVT"), "TVT", typewell(s, d)).withColumns({"lo": F.lit(10100.0), "hi": F.lit(10400.0), "b": F.lit(0.0)}).select(*ID, post.clip_to_range("TVT", "lo", "hi").alias("clipped"), post.snap_to("TVT", "b", "boundary_dist", 0.25).alias("snapped")), f"{TWS}, b AS (SELECT TVT AS x FROM (SELECT TVT, Geology, lag(Geology) OVER (ORDER BY TVT) AS g FROM tw) WHERE Geology <> g), l AS (SELECT sh.well, sh.row_idx, sh.TVT, b.x AS lx FROM sh ASOF LEFT JOIN b ON sh.TVT >= b.x), r AS (SELECT l.*, b.x AS rx FROM l ASOF LEFT JOIN b ON l.TVT <= b.x) SELECT well, row_idx, {R('greatest(least(TVT, 10500), 10000)')} AS clipped, {R('CASE WHEN least(abs(TVT - lx), abs(rx - TVT)) <= 0.25 THEN 0 ELSE TVT END')} AS snapped FROM r")
+add("snap_clip", lambda s, d: align.boundary_distance(_shifted(s, d).select(*ID, "TVT"), "TVT", typewell(s, d), nearest="b").withColumns({"lo": F.lit(10100.0), "hi": F.lit(10400.0)}).select(*ID, post.clip_to_range("TVT", "lo", "hi").alias("clipped"), post.snap_to("TVT", "b", "boundary_dist", 0.25).alias("snapped")), f"{TWS}, b AS (SELECT TVT AS x FROM (SELECT TVT, Geology, lag(Geology) OVER (ORDER BY TVT) AS g FROM tw) WHERE Geology <> g), l AS (SELECT sh.well, sh.row_idx, sh.TVT, b.x AS lx FROM sh ASOF LEFT JOIN b ON sh.TVT >= b.x), r AS (SELECT l.*, b.x AS rx FROM l ASOF LEFT JOIN b ON l.TVT <= b.x) SELECT well, row_idx, {R('greatest(least(TVT, 10500), 10000)')} AS clipped, {R('CASE WHEN least(abs(TVT - lx), abs(rx - TVT)) <= 0.25 THEN CASE WHEN rx IS NULL OR TVT - lx <= rx - TVT THEN lx ELSE rx END ELSE TVT END')} AS snapped FROM r")
 _SG = post.savgol_weights()
 add("savgol", lambda s, d: post.savgol(well_user(s, d), "Z").select(*ID, "smooth"), f"WITH {USER}, c AS (SELECT [{', '.join('[' + ', '.join(repr(float(v)) for v in r) + ']' for r in _SG)}]::DOUBLE[][] AS m), l AS (SELECT well, list(Z ORDER BY row_idx) AS z, count(*) AS n FROM us GROUP BY well), q AS (SELECT us.well, row_idx, l.z, n, greatest(least(row_idx - 8, n - 17), 0) AS a FROM us JOIN l USING (well)) SELECT well, row_idx, {R('list_dot_product(z[a + 1:a + 17], m[row_idx - a + 1])')} AS smooth FROM q, c")
 add("trust_blend", lambda s, d: _pred(s, d).join(features.well_constants(well_ev(s, d)).select("well", "visible_n"), "well").select(*ID, post.trust_blend("visible_n", "p", "TVT").alias("blend")), f"{PRED} SELECT well, row_idx, {R('(1 - least(greatest(visible_n / 200.0::DOUBLE, 0), 0.6)) * p + least(greatest(visible_n / 200.0::DOUBLE, 0), 0.6) * TVT')} AS blend FROM pred JOIN con USING (well)")
@@ -301,7 +310,7 @@ add("interactions", lambda s, d: windows(well_ev(s, d), statistics.interactions(
 add("prefix_stats", lambda s, d: statistics.prefix_stats(well_ev(s, d)), f"WITH {EV} SELECT well, count(*) AS prefix_length, {R('regr_slope(TVT_input, MD)')} AS prefix_slope, {R('stddev_pop(TVT_input) * sqrt(greatest(0, 1 - corr(TVT_input, MD) ** 2))')} AS prefix_rmse FROM ev WHERE TVT_input IS NOT NULL GROUP BY well")
 add("positions", lambda s, d: well_ev(s, d).join(well_ev(s, d).groupBy("well").agg(*sequence.anchor_aggregates()), "well").select(*ID, *[c.alias(n) for n, c in statistics.positions().items()]), f"WITH {EV}, {CONST} SELECT well, row_idx, {R('MD - visible_md_max')} AS md_since, {R('(row_idx - seen + 1)::DOUBLE / greatest(n - seen, 1)')} AS frac, {R('X - x_last')} AS dx, {R('Y - y_last')} AS dy, {R('Z - z_last')} AS dz FROM ev JOIN con USING (well)")
 add("tail_mask", lambda s, d: statistics.tail_mask(well_user(s, d), 0.6, value="MD", out="masked").select(*ID, "masked"), f"WITH {USER}, c AS (SELECT well, count(*) AS n FROM us GROUP BY well) SELECT well, row_idx, {R('CASE WHEN row_idx < floor(n * (1 - 0.6::DOUBLE)) THEN MD END')} AS masked FROM us JOIN c USING (well)")
-add("random_tail_mask", lambda s, d: statistics.tail_mask(well_user(s, d), statistics.random_ratio(), value="MD", out="masked").groupBy("well").agg(F.count("masked").alias("kept"), F.count("*").alias("rows")))
+add("random_tail_mask", lambda s, d: statistics.tail_mask(well_user(s, d), statistics.random_ratio(), value="MD", out="masked").groupBy("well").agg(F.count("masked").alias("kept"), F.count("*").alias("rows")), f"WITH {USER}, c AS (SELECT well, count(*) AS n, 0.4::DOUBLE + {0.85 - 0.4!r}::DOUBLE * CAST('0x' || substr(md5(well || '-42'), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS ratio FROM us GROUP BY well) SELECT well, count(*) FILTER (row_idx < floor(n * (1 - ratio)) AND MD IS NOT NULL) AS kept, count(*) AS rows FROM us JOIN c USING (well) GROUP BY well")
 add("finite_rate", lambda s, d: statistics.finite_rates(features.feature_table(well_ev(s, d)), ["GR", "GR_diff_20", "dX", "d2Z", "TVT_input"]), f"WITH {EV}, {DERIV}, x AS (SELECT *, GR - lag(GR, 20) {OVER} AS GR_diff_20 FROM der3) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {R(f'avg(({c} IS NOT NULL)::INTEGER)')} AS rate FROM x" for c in ("GR", "GR_diff_20", "dX", "d2Z", "TVT_input")) + ")")
 add("gr_quantiles", lambda s, d: statistics.hidden_quantiles(well_ev(s, d)), f"WITH {EV} SELECT well, " + ", ".join(f"{R(f'quantile_cont(GR, {p})')} AS GR_q{round(100 * p):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM ev WHERE TVT_input IS NULL GROUP BY well")
 
@@ -325,11 +334,27 @@ def _weights(s, d, run):
     return run(wide, ["m1", "m2", "m3"], "TVT")
 
 
-add("nnls_stack", lambda s, d: s.createDataFrame(sorted(_weights(s, d, blend.stack).items()), "model string, weight double"))
-add("hill_climb", lambda s, d: s.createDataFrame(sorted(_weights(s, d, blend.hill_climb).items()), "model string, weight double"))
-add("keep_best", lambda s, d: s.createDataFrame([(_weights(s, d, blend.keep_best)[0],)], "kept string"))
-
-# Sequential operators: no SQL; tests compare them with plain loops.
+_SUMS = f"""{PRED}, mm AS (SELECT p AS m1, tvt_input_visible_last AS m2, p + (pred.MD - visible_md_max) / 100 AS m3, TVT AS y FROM pred JOIN con USING (well) WHERE p IS NOT NULL AND tvt_input_visible_last IS NOT NULL AND visible_md_max IS NOT NULL AND TVT IS NOT NULL),
+    g AS (SELECT count(*) AS n, sum(y * y) AS yy, {', '.join(f'sum(m{i} * m{j}) AS a{i}{j}' for i in (1, 2, 3) for j in range(i, 4))}, {', '.join(f'sum(m{i} * y) AS b{i}' for i in (1, 2, 3))} FROM mm)"""
+_RIDGE = f"""{_SUMS}, r AS (SELECT * REPLACE (a11 + 1 AS a11, a22 + 1 AS a22, a33 + 1 AS a33) FROM g),
+    sets AS (SELECT b1 / a11 AS w1, 0::DOUBLE AS w2, 0::DOUBLE AS w3 FROM r UNION ALL SELECT 0, b2 / a22, 0 FROM r UNION ALL SELECT 0, 0, b3 / a33 FROM r
+        UNION ALL SELECT (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12), (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12), 0 FROM r UNION ALL SELECT (b1 * a33 - b3 * a13) / (a11 * a33 - a13 * a13), 0, (b3 * a11 - b1 * a13) / (a11 * a33 - a13 * a13) FROM r
+        UNION ALL SELECT 0, (b2 * a33 - b3 * a23) / (a22 * a33 - a23 * a23), (b3 * a22 - b2 * a23) / (a22 * a33 - a23 * a23) FROM r
+        UNION ALL SELECT (b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3)) / det, (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / det, (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det
+            FROM (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM r)),
+    st AS (SELECT s.* FROM sets s, r WHERE w1 >= 0 AND w2 >= 0 AND w3 >= 0 ORDER BY a11 * w1 * w1 + a22 * w2 * w2 + a33 * w3 * w3 + 2 * (a12 * w1 * w2 + a13 * w1 * w3 + a23 * w2 * w3) - 2 * (b1 * w1 + b2 * w2 + b3 * w3) LIMIT 1)"""
+_ERROR = lambda w: f"sqrt(greatest(0, a11 * {w}1 * {w}1 + a22 * {w}2 * {w}2 + a33 * {w}3 * {w}3 + 2 * (a12 * {w}1 * {w}2 + a13 * {w}1 * {w}3 + a23 * {w}2 * {w}3) - 2 * (b1 * {w}1 + b2 * {w}2 + b3 * {w}3) + yy) / n)"
+# Two of the three models nearly agree, so weights are sure to four places only.
+add("nnls_stack", lambda s, d: s.createDataFrame(sorted(_weights(s, d, blend.stack).items()), "model string, weight double").withColumn("weight", F.round(F.col("weight") + 3.7e-7, 4)), f"{_RIDGE} " + " UNION ALL ".join(f"SELECT 'm{i}' AS model, round(w{i} + 3.7e-7, 4) AS weight FROM st" for i in (1, 2, 3)))
+_MOVES = " UNION ALL ".join(f"SELECT {n} AS move, {', '.join(f'{0.05 if k == i else -0.05 if k == j else 0}::DOUBLE AS d{k}' for k in (1, 2, 3))}, {j} AS giver" for n, (i, j) in enumerate((i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i != j))
+add("hill_climb", lambda s, d: s.createDataFrame(sorted(_weights(s, d, blend.hill_climb).items()), "model string, weight double"), f"""{_SUMS.replace('WITH ', 'WITH RECURSIVE ', 1)}, mv AS ({_MOVES}), one AS (SELECT 1::DOUBLE AS w1, 0::DOUBLE AS w2, 0::DOUBLE AS w3 UNION ALL SELECT 0, 1, 0 UNION ALL SELECT 0, 0, 1),
+    first_ AS (SELECT w1, w2, w3, {_ERROR('w')} AS e FROM one, g QUALIFY row_number() OVER (ORDER BY e, w1 DESC, w2 DESC) = 1),
+    hc AS (SELECT 0 AS turn, w1, w2, w3, e FROM first_ UNION ALL
+        SELECT turn + 1, v1, v2, v3, {_ERROR('v')} AS e2 FROM (SELECT hc.*, move, w1 + d1 AS v1, w2 + d2 AS v2, w3 + d3 AS v3 FROM hc, mv WHERE turn < 500 AND CASE giver WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END >= 0.05 - 1e-12), g WHERE {_ERROR('v')} < e - 1e-12 QUALIFY row_number() OVER (ORDER BY e2, move) = 1),
+    top AS (SELECT * FROM hc ORDER BY turn DESC LIMIT 1) """ + " UNION ALL ".join(f"SELECT 'm{i}' AS model, {R(f'round(w{i}, 10)')} AS weight FROM top" for i in (1, 2, 3)))
+add("keep_best", lambda s, d: s.createDataFrame([(_weights(s, d, blend.keep_best)[0],)], "kept string"), f"{_RIDGE}, m AS (SELECT 1 / 3.0::DOUBLE AS m1, 1 / 3.0::DOUBLE AS m2, 1 / 3.0::DOUBLE AS m3) SELECT CASE WHEN {_ERROR('w')} < {_ERROR('m.m')} THEN 'stack' ELSE 'mean' END AS kept FROM st, g, m")
+
+# Sequential operators; tests compare those without SQL with plain loops.
 
 
 def _own_typewells(s, d):
@@ -341,8 +366,83 @@ def _own_typewells(s, d):
 add("beam_path", lambda s, d: paths.beam_features(_shifted(s, d), _own_typewells(s, d)))
 add("particle_path", lambda s, d: paths.particle_features(_shifted(s, d), _own_typewells(s, d)))
 add("particle_path_s", lambda s, d: paths.particle_features(_shifted(s, d), _own_typewells(s, d), on="s"))
-add("self_ncc", lambda s, d: paths.self_match_features(well_ev(s, d)))
-add("spectrum", lambda s, d: paths.spectrum_features(well_user(s, d)))
+
+
+def _ncc(half: int) -> str:
+    """Every hidden window against every third visible one, as lists."""
+    win = 2 * half + 1
+    return f"""h{half} AS (SELECT well, i, list_concat(list_concat(list_resize(CAST([] AS DOUBLE[]), {half}, h[1]), h), list_resize(CAST([] AS DOUBLE[]), {half}, h[len(h)]))[i + 1:i + {win}] AS w FROM (SELECT well, h, unnest(range(len(h))) AS i FROM logs)),
+    s{half} AS (SELECT well, s, v[s + 1:s + {win}] AS w, t[s + {half + 1}] AS tv FROM (SELECT well, v, t, unnest(range(0, len(v) - {win - 1}, 3)) AS s FROM logs)),
+    c{half} AS (SELECT a.well, a.i, arg_min(b.tv, (-round(c, 9), b.s)) AS tv, max(round(c, 9)) AS score FROM (SELECT well, i, w, list_avg(w) AS m, list_stddev_pop(w) + 1e-6 AS d FROM h{half}) a JOIN (SELECT well, s, w, tv, list_avg(w) AS m, list_stddev_pop(w) + 1e-6 AS d FROM s{half}) b USING (well), LATERAL (SELECT (list_dot_product(a.w, b.w) / {win} - a.m * b.m) / (a.d * b.d) AS c) GROUP BY a.well, a.i)"""
+
+
+_NCC = f"""WITH {EV}, fill AS (SELECT *, coalesce(GR, avg(GR) OVER (PARTITION BY well, TVT_input IS NULL)) AS g FROM ev),
+    logs AS (SELECT well, list(g ORDER BY row_idx) FILTER (TVT_input IS NOT NULL) AS v, list(TVT_input ORDER BY row_idx) FILTER (TVT_input IS NOT NULL) AS t, list(g ORDER BY row_idx) FILTER (TVT_input IS NULL) AS h, list(row_idx ORDER BY row_idx) FILTER (TVT_input IS NULL) AS r, arg_max(TVT_input, row_idx) FILTER (TVT_input IS NOT NULL) AS last FROM fill GROUP BY well),
+    hid AS (SELECT well, last, unnest(r) AS row_idx, generate_subscripts(r, 1) - 1 AS i FROM logs), {', '.join(_ncc(x) for x in (8, 15, 25))}
+    SELECT hid.well, hid.row_idx, {', '.join(f"{R(f'c{x}.tv - last')} AS sc{x}_d, {R(f'c{x}.score')} AS sc{x}_score" for x in (8, 15, 25))} FROM hid {' '.join(f'LEFT JOIN c{x} ON c{x}.well = hid.well AND c{x}.i = hid.i' for x in (8, 15, 25))}"""
+add("self_ncc", lambda s, d: paths.self_match_features(well_ev(s, d)), _NCC)
+add("spectrum", lambda s, d: paths.spectrum_features(well_user(s, d)), f"""WITH {USER}, v AS (SELECT well, GR - avg(GR) OVER (PARTITION BY well) AS v, row_number() OVER (PARTITION BY well ORDER BY row_idx) - 1 AS j, count(*) OVER (PARTITION BY well) AS n FROM us WHERE TVT_input IS NULL AND GR IS NOT NULL),
+    f AS (SELECT well, n, v, j, unnest(range(1, n // 2 + 1)) AS k FROM v WHERE n >= 3), p AS (SELECT well, n, k, sum(v * cos(2 * pi() * k * j / n)) ** 2 + sum(v * sin(2 * pi() * k * j / n)) ** 2 AS power FROM f GROUP BY well, n, k),
+    b AS (SELECT well, arg_max(k, (round(power, 6), -k)) AS k, any_value(n) AS n, max(power) AS power FROM p GROUP BY well) SELECT w.well, {R('k::DOUBLE / n')} AS fft_freq, {R('ln(1 + power)')} AS fft_log_power FROM (SELECT DISTINCT well FROM us) w LEFT JOIN b USING (well)""")
+
+# Files of wells, written from the tables and read back; tables and files that a run leaves.
+
+
+def _files(read):
+    return lambda s, d: read(s, well_files(s, d))
+
+
+def _back(s, df, *columns):
+    path = scratch.fresh(s, "sink")
+    wells.write_table(df, path, list(columns) or None)
+    return s.read.parquet(path)
+
+
+_HZ = ["MD", "X", "Y", "Z", *wells.TOPS, "GR", "TVT", "TVT_input"]
+_HZ_SQL = f"SELECT well, row_idx, {', '.join(R(f'TVT + {10 * (i + 1)}') + f' AS {t}' for i, t in enumerate(wells.TOPS))}, {RS('MD', 'X', 'Y', 'Z', 'GR', 'TVT', 'TVT_input')} FROM us WHERE split = 'train'"
+add("csv_list_wells", _files(lambda s, f: wells.list_wells(s, f"{f}/test")), f"WITH {USER} SELECT DISTINCT well FROM us WHERE split = 'test'")
+add("csv_horizontal", _files(lambda s, f: wells.read_horizontal(s, f"{f}/train", skip_bad=True).select(*ID, *_HZ)), f"WITH {USER} {_HZ_SQL}")
+add("csv_horizontal_test", _files(lambda s, f: wells.read_horizontal(s, f"{f}/test", "test")), f"WITH {USER} SELECT well, row_idx, {RS('MD', 'X', 'Y', 'Z', 'GR', 'TVT_input')} FROM us WHERE split = 'test'")
+add("csv_projected", _files(lambda s, f: wells.read_horizontal(s, f"{f}/test", "test", ["X", "Y"])), f"WITH {USER} SELECT well, {RS('X', 'Y')} FROM us WHERE split = 'test'")
+add("csv_typewells", _files(lambda s, f: wells.read_typewells(s, f"{f}/train")), f"WITH {USER}, {USER_TW} SELECT well, {RS('TVT', 'GR')}, Geology FROM ut WHERE split = 'train'")
+
+
+def _four(s, folder):
+    tables = wells.load_train_test(s, folder, skip_bad=True)
+    parts = [t.select(F.lit(i).alias("part"), "well", F.col("GR")) for i, t in enumerate(tables)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("part").agg(F.count("*").alias("rows"), F.count_distinct("well").alias("wells"), F.sum("GR").alias("gr"))
+
+
+add("csv_four_tables", _files(_four), f"WITH {USER}, {USER_TW}, q AS (SELECT CASE split WHEN 'train' THEN 0 ELSE 2 END AS part, well, GR FROM us UNION ALL SELECT CASE split WHEN 'train' THEN 1 ELSE 3 END, well, GR FROM ut) SELECT CAST(part AS INTEGER) AS part, count(*) AS rows, count(DISTINCT well) AS wells, {R('sum(GR)')} AS gr FROM q GROUP BY part")
+_CACHED = ["well", "row_idx", "TVT_input", *features.FEATURES, "TVT"]
+add("feature_cache", lambda s, d: _back(s, features.feature_table(well_ev(s, d)), *_CACHED), ORACLES["feature_table"])
+_SINGLE = ["GR_z", "tvt_planefit_pred", "md_to_visible_end", "GR_roll_mean_50", "GR_roll_std_200", "GR_diff_20", "inclination", "X"]
+add("features_f32", lambda s, d: features.feature_table(well_ev(s, d), parity_f32=True).select(*ID, *[F.col(f).cast("double").alias(f) for f in _SINGLE]), f"WITH {EV}, {PF}, {CONST}, {DERIV} SELECT well, row_idx, " + ", ".join(f"{R(f'CAST(CAST({_FEATURE_SQL.get(f, f)} AS FLOAT) AS DOUBLE)')} AS {f}" for f in _SINGLE) + " FROM der3 JOIN con USING (well) JOIN pf USING (well)")
+_PREDICTED = lambda s, d: _pred(s, d).select(*ID, F.col("p").alias("tvt_pred"), "TVT", "is_hidden")
+add("oof_table", lambda s, d: _back(s, _PREDICTED(s, d), *ID, "tvt_pred", "TVT", "is_hidden"), f"{PRED} SELECT well, row_idx, {R('p')} AS tvt_pred, {RS('TVT')}, is_hidden FROM pred")
+add("test_pred_table", lambda s, d: _back(s, _PREDICTED(s, d), *ID, "tvt_pred", "is_hidden"), f"{PRED} SELECT well, row_idx, {R('p')} AS tvt_pred, is_hidden FROM pred")
+add("profile_table", lambda s, d: _back(s, _profile(s, d, "n_rows", "visible_ratio", "GR_mean")), f"{ALLPROF} SELECT split, well, n_rows, {RS('visible_ratio', 'GR_mean')} FROM jp")
+
+
+def _submitted(s, d):
+    path = scratch.fresh(s, "submission")
+    wells.write_submission(_PREDICTED(s, d), path)
+    return s.read.schema("id string, tvt double").option("header", True).csv(path)
+
+
+add("submission_csv", _submitted, f"{PRED} SELECT well || '_' || row_idx AS id, {R('p')} AS tvt FROM pred WHERE is_hidden")
+
+
+def _summarised(s, d):
+    path = scratch.fresh(s, "summary.json")
+    wells.write_summary(profile.split_summary(_profile(s, d, "*")), path)
+    of = "n_wells long, n_rows_max long, visible_ratio_p50 double, MD_step_modal_unique array<struct<value: double, count: long>>"
+    read = s.read.schema(f"test struct<{of}>, train struct<{of}>").option("multiLine", True).json(path)
+    rows = read.select(F.explode(F.array(*[F.struct(F.lit(k).alias("split"), F.col(k).alias("v")) for k in ("test", "train")])).alias("r"))
+    return rows.select("r.split", "r.v.n_wells", "r.v.n_rows_max", "r.v.visible_ratio_p50", F.col("r.v.MD_step_modal_unique")[0]["value"].alias("top_step"))
+
+
+add("summary_json", _summarised, f"{ALLPROF}, f AS (SELECT split, v, row_number() OVER (PARTITION BY split ORDER BY c DESC, w) AS rank FROM (SELECT split, round_even(MD_step_modal * 1000, 0) / 1000 AS v, count(*) AS c, min(well) AS w FROM jp GROUP BY ALL)) SELECT jp.split, count(*) AS n_wells, max(n_rows) AS n_rows_max, {R('quantile_cont(visible_ratio, 0.5)')} AS visible_ratio_p50, {R('any_value(f.v)')} AS top_step FROM jp JOIN f ON f.split = jp.split AND f.rank = 1 GROUP BY jp.split")
 
 # An extension: windows of time.
 add("time_windows", lambda s, d: causal.windowed(table(s, d, "events")), f"SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, {R('avg(value)')} AS mean FROM events GROUP BY ALL")

@@ -26,16 +26,17 @@ def well_constants(h: DataFrame, key: str = "well") -> DataFrame:
     )
 
 
-def feature_table(h: DataFrame, key: str = "well", order: str = "row_idx", parity_f32: bool = False) -> DataFrame:
+def feature_table(h: DataFrame, key: str = "well", order: str = "row_idx", parity_f32: bool = False, segment_rows: int = 100_000) -> DataFrame:
     """``well, row_idx, TVT_input``, the 36 features and ``TVT`` if it is there; float features are cast to 32 bits only if asked for.
 
     Rolling frames and differences run over all rows, hidden ones too; a filter
-    on rows belongs behind this query.
+    on rows belongs behind this query. A well of more than ``segment_rows`` rows
+    is dealt to several tasks; ``order`` numbers its rows from 0 without gaps.
     """
-    w = sequence.by(key, order)
     rows = h.join(well_constants(h, key), key)
     c = F.col
     made = {"GR_z": (c("GR") - c("gr_mean")) / c("gr_std"), "tvt_planefit_pred": planefit.predict(), "md_to_visible_end": c("MD") - c("visible_md_max"), "x_to_visible_end": c("X") - c("x_last"), "y_to_visible_end": c("Y") - c("y_last"), "z_to_visible_end": c("Z") - c("z_last")}
-    made |= sequence.derivatives(w) | sequence.rolling("GR", w) | sequence.diffs("GR", w)
+    framed = lambda w: sequence.derivatives(w) | sequence.rolling("GR", w) | sequence.diffs("GR", w)
+    rows = sequence.segmented(rows, framed, max(sequence.ROLL_WINDOWS), key, order, segment_rows)
     wide = rows.select(key, order, "TVT_input", *[made.get(f, c(f)).alias(f) for f in FEATURES], *(["TVT"] if "TVT" in h.columns else []))
     return wide.select(key, order, "TVT_input", *[c(f).cast("float").alias(f) if parity_f32 and f != "visible_n" else c(f) for f in FEATURES], *(["TVT"] if "TVT" in h.columns else []))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithoframe.sources import scratch, wells
+
 TOPS = [f"top{i}" for i in range(1, 7)]
 
 
@@ -45,6 +47,30 @@ def user_typewells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("split", "well", (10600 + 7.5 * F.col("row_idx") + (F.col("X") * 0)).alias("TVT"), F.coalesce("GR", F.lit(1.0)).alias("GR"), F.when(F.col("row_idx") % 7 != 3, F.concat(F.lit("g"), F.floor(F.col("row_idx") / 9).cast("string"))).alias("Geology"))
 
 
+def well_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of well files written from the user wells: ``train`` and ``test``, two CSV files a well, and in ``train`` two files that are none.
+
+    Spark names the files it writes itself, so each is renamed: two names for
+    each well pass through the driver.
+    """
+    root = scratch.fresh(spark, "wells")
+    rows = well_user(spark, sf_dir).withColumns({t: F.col("TVT") + 10 * (i + 1) for i, t in enumerate(wells.TOPS)})
+    fs, _ = scratch.file_system(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for kind, table_, order, columns in (("horizontal", rows, "MD", wells.HORIZONTAL), ("typewell", user_typewells(spark, sf_dir), "TVT", wells.TYPEWELL)):
+        for split in ("train", "test"):
+            fs.mkdirs(path(f"{root}/{split}"))
+            own = table_.filter(F.col("split") == split).select("well", *columns[split])
+            own.repartition("well").sortWithinPartitions("well", order).write.partitionBy("well").option("header", True).csv(f"{root}/{split}-{kind}")
+            for found in fs.globStatus(path(f"{root}/{split}-{kind}/well=*/part-*")) or []:
+                well = found.getPath().getParent().getName().split("=", 1)[1]
+                fs.rename(found.getPath(), path(f"{root}/{split}/{well}{wells.SUFFIX[kind]}"))
+    short = ",".join(wells.HORIZONTAL["train"][:-1])
+    scratch.write_text(spark, f"{root}/train/short{wells.SUFFIX['horizontal']}", f"{short}\n{','.join('1.0' for _ in short.split(','))}\n")
+    scratch.write_text(spark, f"{root}/train/junk{wells.SUFFIX['horizontal']}", "\u0000\u0001 not a table\n")
+    return root
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("wid"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(["x", "y", *TOPS])])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithoframe.functions.scalar import hidden, nan_to_null, row_key
+from lithoframe.sources.scratch import write_text
 
 # Column names of the input files: fixed values.
 TOPS = ["ANCC", "ASTNU", "ASTNL", "EGFDU", "EGFDL", "BUDA"]
@@ -27,8 +28,13 @@ def schema(names: list[str]) -> T.StructType:
 
 
 def _scan(spark: SparkSession, folder: str, kind: str, names: list[str], skip_bad: bool) -> DataFrame:
-    reader = spark.read.schema(schema(names)).option("header", True).option("enforceSchema", False).option("pathGlobFilter", f"*{SUFFIX[kind]}")
-    rows = reader.option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST").option("nanValue", "nan").csv(folder)
+    reader = spark.read.schema(schema(names)).option("header", True).option("pathGlobFilter", f"*{SUFFIX[kind]}")
+    rows = reader.option("mode", "DROPMALFORMED" if skip_bad else "FAILFAST").option("nanValue", "nan").option("ignoreCorruptFiles", skip_bad).option("enforceSchema", skip_bad).csv(folder)
+    if skip_bad:  # files whose first line is not the header that is expected are left out
+        lines = spark.read.option("pathGlobFilter", f"*{SUFFIX[kind]}").option("ignoreCorruptFiles", True).text(folder)
+        good = lines.filter(F.trim("value") == ",".join(names)).select(F.col("_metadata.file_path").alias("__path")).distinct()
+        rows = rows.withColumn("__path", F.col("_metadata.file_path")).withColumn("__name", F.col("_metadata.file_name")).join(good, "__path", "left_semi")
+        return nan_to_null(rows.select(F.split("__name", "__")[0].alias("well"), *names))
     return nan_to_null(rows.select(F.split(F.col("_metadata.file_name"), "__")[0].alias("well"), *names))
 
 
@@ -56,9 +62,9 @@ def read_typewells(spark: SparkSession, folder: str, split: str = "train", skip_
     return _scan(spark, folder, "typewell", TYPEWELL[split], skip_bad)
 
 
-def load_train_test(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def load_train_test(spark: SparkSession, root: str, skip_bad: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Horizontal logs and typewells of training, then of test."""
-    return tuple(read(spark, f"{root}/{s}", s) for s in ("train", "test") for read in (read_horizontal, read_typewells))
+    return tuple(read(spark, f"{root}/{s}", s, skip_bad=skip_bad) for s in ("train", "test") for read in (read_horizontal, read_typewells))
 
 
 def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -88,9 +94,9 @@ def write_submission(predictions: DataFrame, path: str, value: str = "tvt_pred")
 
 
 def write_summary(summary: DataFrame, path: str) -> dict[str, Any]:
-    """Write a summary (one row per split) as indented JSON; returns it."""
+    """Write a summary (one row per split) as one indented JSON file; returns it."""
     out = {r["split"]: json.loads(r["body"]) for r in summary.select("split", F.to_json(F.struct(*[c for c in summary.columns if c != "split"])).alias("body")).collect()}
-    Path(path).write_text(json.dumps(out, indent=2))
+    write_text(summary.sparkSession, path, json.dumps(out, indent=2))
     return out
 
 

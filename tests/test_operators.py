@@ -228,6 +228,44 @@ def test_paths(spark):
     assert f == 1 / 8
 
 
+def test_keyed_boundaries(spark):
+    t = spark.createDataFrame([("a", 1.0, "x"), ("a", 5.0, "y"), ("a", 900.0, "z"), ("b", 1.0, "x"), ("b", 2.0, "x")], "well string, TVT double, Geology string")
+    r = spark.createDataFrame([("a", -300.0), ("a", 452.5), ("a", 453.0), ("a", 2000.0), ("a", None), ("b", 1.0), ("c", 1.0)], "well string, x double").withColumn("bucket", F.lit(1))
+    got = {(v.well, v.x): (v.boundary_dist, v.cut) for v in align.boundary_distance(r, "x", t, ["well"], nearest="cut").collect()}
+    assert got == {("a", -300.0): (305.0, 5.0), ("a", 452.5): (447.5, 5.0), ("a", 453.0): (447.0, 900.0), ("a", 2000.0): (1100.0, 900.0), ("a", None): (None, None), ("b", 1.0): (None, None), ("c", 1.0): (None, None)}
+
+
+def test_self_match_is_the_best_window(spark):
+    rng = np.random.default_rng(3)
+    seen, gr, tvt = rng.normal(50, 9, 90), rng.normal(50, 9, 37), np.arange(90.0)
+    for half, stride in ((4, 1), (8, 3)):
+        own, score = paths.self_match(seen, tvt, gr, half, stride)
+        wide = np.concatenate([[gr[0]] * half, gr, [gr[-1]] * half])
+        unit = lambda v: (v - v.mean()) / (v.std() + 1e-6)
+        for i in range(37):
+            c = [(unit(wide[i : i + 2 * half + 1]) * unit(seen[s : s + 2 * half + 1])).mean() for s in range(0, 90 - 2 * half, stride)]
+            assert own[i] == int(np.argmax(c)) * stride + half and score[i] == pytest.approx(max(c), abs=1e-8)
+
+
+def test_cumulative_product(spark):
+    z = [0.0, 2.0, 1.0, -3.0, -3.0, 1.0]
+    rows = spark.createDataFrame([("w", i, v) for i, v in enumerate(z)], "well string, row_idx int, Z double")
+    got = [(r.dZ_prod_sign, r.dZ_prod_log) for r in sequence.cumulative_product(rows, sequence.by()).orderBy("row_idx").collect()]
+    assert got[0] == (None, None) and [g[0] for g in got[1:]] == [1, -1, 1, 0, 0]
+    assert np.allclose([g[1] for g in got[1:4]], np.log([2, 2, 8]))
+
+
+def test_train_run(spark, tmp_path):
+    h = make(spark, {f"w{i}": [1] * 6 + [0] * 6 for i in range(6)})
+    test = make(spark, {"t": [1] * 6 + [0] * 6}, 4).drop("TVT")
+    got = crossval.train_run(h, test.withColumn("TVT", F.lit(None).cast("double")), ["X", "Y", "Z"], "TVT", str(tmp_path / "run"), (1, 2), 2, pseudo=True, maxIter=2, maxDepth=2)
+    assert set(got) == {"rmse", "rmse_hidden", "mean_best_iter"} and got["mean_best_iter"] in (1, 2) and got["rmse"] > 0
+    oof = spark.read.parquet(str(tmp_path / "run/oof"))
+    assert oof.columns == ["well", "row_idx", "tvt_pred", "TVT", "is_hidden"] and oof.count() == 72
+    for name in ("test", "test_pseudo"):
+        assert spark.read.parquet(str(tmp_path / f"run/{name}")).count() == 12
+
+
 def test_sources_round_trip(spark, tmp_path):
     d = tmp_path / "train"
     d.mkdir()
