@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.llm.common import lean, sliced, written
@@ -29,7 +29,7 @@ from lithoframe.llm.components import components
 
 SCALES = (1.0, 1.2, 1.44, 1.73, 2.07)
 PATCH, BITS = 9, 128
-TABLES, PART, MATES = 4, 28, 2
+TABLES, PART, MATES, CELL = 4, 32, 2, 6
 PLACE = ["x", "y", "scale", "angle", "d0", "d1"]
 _rng = np.random.default_rng(7)
 TESTS = np.clip(_rng.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH + 1, PATCH - 1)
@@ -188,11 +188,14 @@ def mates(x: np.ndarray, y: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 
 def keys_of(words: np.ndarray, mate: np.ndarray) -> np.ndarray:
-    """Table keys of each corner with each mate: the table's number, then ``PART`` bits of either descriptor; -1 without a mate."""
-    shift = np.uint64(32 - PART)
-    parts = np.stack([(words[:, 0] >> np.uint64(32)) >> shift, (words[:, 0] & np.uint64(0xFFFFFFFF)) >> shift, (words[:, 1] >> np.uint64(32)) >> shift, (words[:, 1] & np.uint64(0xFFFFFFFF)) >> shift], axis=1).astype(np.int64)
-    both = (np.arange(TABLES) << (2 * PART)) | (parts[:, None, :] << PART) | parts[mate]
-    return np.where((mate >= 0)[:, :, None], both, -1)
+    """Table keys of each corner with each mate: a hash of ``PART`` bits of either descriptor, then two bits for the table; -1 without a mate."""
+    halves = np.stack([words[:, 0] >> np.uint64(32), words[:, 0] & np.uint64(0xFFFFFFFF), words[:, 1] >> np.uint64(32), words[:, 1] & np.uint64(0xFFFFFFFF)], axis=1)
+    parts = halves >> np.uint64(32 - PART)
+    both = (parts[:, None, :] << np.uint64(32)) | parts[mate]
+    both = (both ^ (both >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    both = (both ^ (both >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = ((both >> np.uint64(3)) << np.uint64(2) | np.arange(TABLES, dtype=np.uint64)).astype(np.int64)
+    return np.where((mate >= 0)[:, :, None], keys, -1)
 
 
 CORNER = "struct<x:double,y:double,scale:double,angle:double,d0:bigint,d1:bigint>"
@@ -245,7 +248,7 @@ def _alike(bits: int) -> Column:
     """Whether two bucket rows (``p_`` and ``q_``) agree: descriptors of both corners, direction and distance between them; each pair in the first table it shares."""
     xors = {f"{c}{w}": F.col(f"p_{c}.d{w}").bitwiseXOR(F.col(f"q_{c}.d{w}")) for c in "ab" for w in "01"}
     near = [F.bit_count(xors[f"{c}0"]) + F.bit_count(xors[f"{c}1"]) <= bits for c in "ab"]
-    table = F.shiftright("key", 2 * PART)
+    table = F.col("key").bitwiseAND(F.lit(3))
     whole = F.lit((1 << PART) - 1)
     part = lambda c, t: F.shiftrightunsigned(xors[f"{c}{t // 2}"], (32 if t % 2 == 0 else 0) + 32 - PART).bitwiseAND(whole)
     before = reduce(Column.__or__, [(table > t) & (part("a", t) == 0) & (part("b", t) == 0) for t in range(TABLES - 1)])
@@ -272,8 +275,8 @@ def agreed(matches: DataFrame, least: int = 6, shift: float = 4.0, part: float =
     swap = F.col("p_image_id") > F.col("q_image_id")
     side = lambda c, first: F.struct(*[F.when(swap == F.lit(first), F.col(f"q_{c}")[f]).otherwise(F.col(f"p_{c}")[f]).alias(f) for f in PLACE[:4]])
     ids = [F.least("p_image_id", "q_image_id").alias("a"), F.greatest("p_image_id", "q_image_id").alias("b")]
-    rows = matches.select(*ids, F.explode(F.array(*[F.struct(side(c, True).alias("l"), side(c, False).alias("r")) for c in "ab"])).alias("m"))
-    lists = rows.groupBy("a", "b").agg(F.collect_set("m").alias("m")).filter(F.size("m") >= least)
+    rows = matches.select(*ids, F.array(*[F.struct(side(c, True).alias("l"), side(c, False).alias("r")) for c in "ab"]).alias("m"))
+    lists = rows.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m")).filter(F.size("m") >= least)
 
     def run(batches):
         for batch in sliced(batches, 256):
@@ -291,7 +294,7 @@ def consents(left: list[np.ndarray], right: list[np.ndarray], least: int, shift:
     """Whether one of the matches (x, y, scale, angle of either side) has the agreement of enough corners."""
     n = len(left[0])
     turn, ratio = right[3] - left[3], right[2] / left[2]
-    cells = [np.unique((v[0] // 6).astype(np.int64) << 32 | (v[1] // 6).astype(np.int64), return_inverse=True)[1] for v in (left, right)]
+    cells = [np.unique((v[0] // CELL).astype(np.int64) << 32 | (v[1] // CELL).astype(np.int64), return_inverse=True)[1] for v in (left, right)]
     step = max(1, (1 << 20) // max(n, 1))
     for at in range(0, n, step):
         own = slice(at, at + step)
@@ -306,36 +309,79 @@ def consents(left: list[np.ndarray], right: list[np.ndarray], least: int, shift:
     return False
 
 
-def image_links(found: DataFrame, least: int = 6, bits: int = 24, most: int = 512, crowd: int = 32, rounds: int = 2) -> DataFrame:
+def _relabelled(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Bucket rows with their images' least label, of their own and of ``names``, and ``large`` where a name has it; an image has a bounded number of rows."""
+    own = Window.partitionBy("image_id")
+    new = {"label": F.min("label").over(own)} | ({"large": F.max("large").over(own)} if "large" in names.columns else {})
+    return rows.unionByName(names, allowMissingColumns=True).withColumns(new).filter("key is not null")
+
+
+def image_links(found: DataFrame, least: int = 6, bits: int = 24, most: int = 512, crowd: int = 4, large: int = 32, rounds: int = 6) -> DataFrame:
     """Links (``a``, ``b``) that connect the same images as all links do. ``found``: ``image_id, corners, mates, keys``.
 
     Two images link if ``agreed`` over all matches of their corners in the
     tables; nothing else in the table bears on that. First, in each bucket of
     more than ``crowd`` rows, one image meets the others, ``rounds`` times;
-    links found so are links, and what they join gets one label. Then every two
+    links found so are links, and an image takes the least label of those that it
+    links to, so images of one label are joined. Then every two
     images of a bucket that still have different labels meet, whatever the
     bucket's size: only pairs that are joined already are passed over, so
-    components are those of all pairs, at every ``crowd``, ``most`` and
-    ``rounds``. ``most`` is the size of a join's blocks.
+    components are those of all pairs, at every ``crowd``, ``large``, ``most``
+    and ``rounds``. A label of more than ``large`` images is met only by images
+    that ``_others`` finds able to link with it; ``most`` is the size of a join's
+    blocks.
     """
     held = written(buckets(found), "buckets")
     labelled = held.withColumn("label", F.col("image_id"))
     links = []
     for turn in range(rounds):
         crowded = labelled.filter(F.col("n") > crowd)
-        order = F.xxhash64("image_id", F.lit(turn))
-        lead = crowded.groupBy("key").agg(F.min_by("image_id", F.struct(order, "image_id")).alias("image_id"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "image_id")
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))  # noqa: B023, E731
+        lead = crowded.groupBy("key").agg(F.min_by("image_id", order("image_id")).alias("image_id"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "image_id")
         new = written(agreed(_met(crowded.join(lead, ["key", "image_id"], "left_semi"), crowded, most, bits, F.lit(True)), least), "links")
         if new.isEmpty():
             break
         links.append(new)
-        joined = components(reduce(DataFrame.union, links), "a", "b").select(F.col("node").alias("image_id"), F.col("component").alias("found"))
-        labelled = written(held.join(joined, "image_id", "left").withColumn("label", F.coalesce("found", "image_id")).drop("found"), "buckets")
-    common = labelled.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("common"), F.count("*").alias("labels")).filter("labels > 1").select("key", "common")
-    open_ = labelled.join(common, "key")
-    minor = open_.filter("label <> common")
+        both = new.union(new.select("b", "a")).toDF("image_id", "to")
+        names = labelled.select("image_id", "label").distinct()
+        for _ in range(3):  # the least label of what an image links to, and of what that links to
+            least_of = both.join(names.withColumnRenamed("image_id", "to"), "to").groupBy("image_id").agg(F.min("label").alias("other"))
+            names = written(names.join(least_of, "image_id", "left").select("image_id", F.least("label", "other").alias("label")), "labels")
+        labelled = written(_relabelled(labelled, names), "buckets")
+    if links:
+        joined = components(reduce(DataFrame.union, links), "a", "b")
+        sizes = joined.groupBy("component").agg(F.count("*").alias("images"))
+        named = joined.join(sizes, "component").select(F.col("node").alias("image_id"), F.col("component").alias("label"), (F.col("images") > large).alias("large"))
+        labelled = _relabelled(labelled.withColumn("large", F.lit(False)), named)
+    else:
+        labelled = labelled.withColumn("large", F.lit(False))
+    labelled = written(labelled, "buckets")
+    return reduce(DataFrame.union, [*links, *_others(labelled, least, bits, most)])
+
+
+def _others(labelled: DataFrame, least: int, bits: int, most: int) -> list[DataFrame]:
+    """Links between images of different labels: among labels that aren't ``large``, and of any images with large ones.
+
+    An image can only link with one of a label if enough of its own corners lie
+    in buckets that hold the label. That is known from one row for each of its
+    corners and label; for a large label, only images that pass meet its rows.
+    """
+    small, big = (labelled.filter(c).drop("large") for c in ("not large", "large"))
+    common = small.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("common"), F.count("*").alias("labels")).filter("labels > 1").select("key", "common")
+    open_ = small.join(common, "key")
     once = (F.col("q_label") == F.col("q_common")) | (F.col("p_image_id") < F.col("q_image_id"))
-    return reduce(DataFrame.union, [*links, agreed(_met(minor, open_, most, bits, once), least)])
+    out = [agreed(_met(open_.filter("label <> common"), open_, most, bits, once), least)]
+    if big.isEmpty():
+        return out
+    at = big.groupBy("key", F.col("label").alias("to")).agg(F.count("*").alias("rows"))
+    columns = [c for c in big.columns if c not in ("key", "n")]
+    near = labelled.drop("n", "large").join(at, "key").filter("label <> to")
+    cell = lambda c: F.struct(F.floor(F.col(c).x / CELL), F.floor(F.col(c).y / CELL))
+    cells = near.select("image_id", "to", F.explode(F.array(cell("a"), cell("b"))).alias("cell")).distinct()
+    able = cells.groupBy("image_id", "to").agg(F.count("*").alias("cells")).filter(F.col("cells") >= least).select("image_id", "to")
+    few = near.join(able, ["image_id", "to"]).select("key", F.col("rows").alias("n"), *columns, "to")
+    many = big.join(at.select("key", F.col("to").alias("label"), "rows"), ["key", "label"]).select("key", F.col("rows").alias("n"), *columns, F.col("label").alias("to"))
+    return [*out, agreed(_met(few, many, most, bits, F.col("p_to") == F.col("q_label")), least)]
 
 
 def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", **options) -> DataFrame:
