@@ -38,10 +38,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    """Words in lower case; those of more than ``LONGEST`` characters as overlapping parts, which begin with ``INNER``."""
-    words = text.lower().split()
-    if max(map(len, words), default=0) <= LONGEST:
-        return words
+    """Words in lower case, long ones in parts."""
+    return parted(text.lower().split())
+
+
+def parted(words: list[str]) -> list[str]:
+    """Words, those of more than ``LONGEST`` characters as overlapping parts, which begin with ``INNER``."""
     out = []
     for w in words:
         if len(w) <= LONGEST:
@@ -344,9 +346,12 @@ class Scorer:
         """The score of each whole text: that of its highest window."""
         if self.used > self.max_words:
             self.clear()
-        split = [words_of(t) for t in texts]
+        split = [t.lower().split() for t in texts]
         rows = self.rows
         new = [w for w in set().union(*split) if w not in rows]
+        if any(len(w) > LONGEST for w in new):  # a long word is never known itself, only its parts are
+            split = [parted(d) for d in split]
+            new = [w for w in set().union(*split) if w not in rows]
         if new:
             self.learn(new)
         flat = np.array([rows[w] for d in split for w in d], np.int64)
