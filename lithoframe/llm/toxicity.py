@@ -97,14 +97,15 @@ class GatedNet:
         """Log-odds of each word and the highest of its n-grams'."""
         grams = self.gram_odds
         most = lambda w: max((grams.get(g, 0.0) for g in grams_of(w)), default=0.0)
-        if any(w[:1] == INNER for w in words):
-            held = [self.told(w) for w in words]
-            return np.array([(self.odds.get(h, 0.0), max(most(w), most(h) if h in self.odds else 0.0)) for w, h in zip(words, held, strict=True)], np.float32).reshape(-1, 2)
-        return np.array([(self.odds.get(w, 0.0), max((grams.get(g, 0.0) for g in grams_of(w)), default=0.0)) for w in words], np.float32).reshape(-1, 2)
+        out = np.array([(self.odds.get(w, 0.0), most(w)) for w in words], np.float32).reshape(-1, 2)
+        for i in [i for i, w in enumerate(words) if w[:1] == INNER]:
+            held = self.told(words[i])
+            out[i] = self.odds.get(held, 0.0), max(out[i, 1], most(held) if held in self.odds else 0.0)
+        return out
 
     def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Embedding row of each word, then trigram rows one after another and where each word's begin."""
-        words = [self.told(w) for w in words]
+        words = [self.told(w) if w[:1] == INNER else w for w in words]
         word = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.word_rows for w in words], np.int64)
         grams, begins = [], []
         for w in words:
@@ -349,9 +350,11 @@ class Scorer:
         split = [t.lower().split() for t in texts]
         rows = self.rows
         new = [w for w in set().union(*split) if w not in rows]
-        if any(len(w) > LONGEST for w in new):  # a long word is never known itself, only its parts are
-            split = [parted(d) for d in split]
-            new = [w for w in set().union(*split) if w not in rows]
+        long = {w for w in new if len(w) > LONGEST}
+        if long:  # a long word is never known itself, only its parts are
+            split = [d if long.isdisjoint(d) else parted(d) for d in split]
+            parts = set(parted(list(long)))
+            new = [w for w in (*(set(new) - long), *parts) if w not in rows]
         if new:
             self.learn(new)
         flat = np.array([rows[w] for d in split for w in d], np.int64)
