@@ -31,6 +31,9 @@ WINDOW, STRIDE, FOLDS = 24, 12, 4
 STRIP = ".,;:!?\"'()[]{}<>*#$%&-_|/\\"
 LONGEST, PART_STEP, INNER = 32, 16, "\0"
 PAD_GATE = -30.0
+# crc32 of three bytes is the exclusive or of a number for each of them and one for three zeros.
+_ZERO = zlib.crc32(bytes(3))
+_CRC = [np.array([zlib.crc32(bytes(k) + bytes([b]) + bytes(2 - k)) ^ _ZERO for b in range(256)], np.uint32) for k in range(3)] + [np.uint32(_ZERO)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -107,12 +110,18 @@ class GatedNet:
         """Embedding row of each word, then trigram rows one after another and where each word's begin."""
         words = [self.told(w) if w[:1] == INNER else w for w in words]
         word = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.word_rows for w in words], np.int64)
-        grams, begins = [], []
-        for w in words:
-            begins.append(len(grams))
-            b = f"<{w}>".encode("utf-8", "surrogatepass")
-            grams += [zlib.crc32(b[i : i + 3]) % self.char_rows for i in range(max(1, len(b) - 2))]
-        return word, np.array(grams, np.int64), np.array(begins, np.int64)
+        marked = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.array([len(b) for b in marked], np.int64)
+        data = np.frombuffer(b"".join([*marked, b"  "]), np.uint8)
+        crc = _CRC[0][data[:-2]] ^ _CRC[1][data[1:-1]] ^ _CRC[2][data[2:]] ^ _CRC[3]
+        ends = np.cumsum(sizes)
+        first = ends - sizes
+        bare = sizes < 3  # the empty word has its two marks only
+        crc[first[bare]] = zlib.crc32(b"<>")
+        counts = np.maximum(sizes - 2, 1)
+        begins = np.cumsum(counts) - counts
+        at = np.repeat(first - begins, counts) + np.arange(int(counts.sum()))
+        return word, crc[at].astype(np.int64) % self.char_rows, begins
 
     def inputs(self, hashed, odds: np.ndarray) -> np.ndarray:
         word, grams, begins = hashed
