@@ -86,6 +86,16 @@ def salt_of(column: str | Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
+def crowded(counts: DataFrame, key: str, count: str, most: int) -> list:
+    """Keys that more than ``most`` rows have, by a table of counts; the driver gets the total over ``most`` of them, if that many."""
+    return [r[0] for r in counts.filter((F.col(count) > most) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def salted(df: DataFrame, key: str, hot: list, salts: int) -> DataFrame:
+    """``df`` with ``salt``: a row for each salt where the key is one of ``hot``, else one row with salt 0."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col(key).isin(hot), salts - 1).otherwise(0))))
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches in slices of at most ``rows`` rows, so that what a step makes of one stays small whatever the session's batch size."""
     for batch in batches:

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import keyed_text, lean, salt_of, sliced, written
-from lithoframe.llm.components import components
+from lithoframe.llm.common import crowded, keyed_text, lean, salt_of, salted, sliced, written
+from lithoframe.llm.components import HOT, components
 
 HASH_SEED = 42
 
@@ -91,8 +91,8 @@ def near_pairs(nodes: DataFrame, limit: int = 2, m: int = 10) -> DataFrame:
     placed = nodes.select("id", "fp", cell.alias("cell"))
     step = F.explode(F.lit(np.array(steps, np.int64)))
     probes = placed.select(F.col("fp").alias("fp_a"), F.col("id").alias("a"), "cell", step.alias("step")).select("fp_a", "a", (F.col("cell") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("own"))
-    # A sort-merge join spills, and large cells can be split while it runs.
-    met = probes.join(placed.withColumnRenamed("id", "b"), "cell")
+    # A sort-merge join spills, and large cells can be split while it runs; either side would be broadcast by an estimate that doesn't know the steps.
+    met = probes.hint("merge").join(placed.withColumnRenamed("id", "b"), "cell")
     near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp"))) <= limit
     return met.filter(near & (~F.col("own") | (F.col("fp_a") < F.col("fp")))).select("a", "b")
 
@@ -111,12 +111,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     prints = written(fingerprints(df, id_col, text_col, width), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")), "nodes")
-    n = nodes.count()
+    n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     links = near_pairs(nodes.select("id", "fp"), limit, m or segment_count(n, limit))
     found = components(links, "a", "b")
-    labelled = nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"), "id", "size")
-    shared = labelled.filter("size > 1 or component_id <> id").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = prints.withColumn("salt", salt_of("doc_id", salts)).join(shared, ["fp", "salt"], "left")
+    labelled = nodes.join(found.hint("merge"), nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"), "id", "size")
+    hot = crowded(nodes, "fp", "size", max(HOT, rows // 1000))
+    shared = salted(labelled.filter("size > 1 or component_id <> id").select("fp", "component_id"), "fp", hot, salts)
+    joined = prints.withColumn("salt", F.when(F.col("fp").isin(hot), salt_of("doc_id", salts)).otherwise(0)).join(shared.hint("merge"), ["fp", "salt"], "left")
     return joined.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

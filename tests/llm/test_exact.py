@@ -73,6 +73,31 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_links_are_not_broadcast(spark, monkeypatch):
+    """Sides that grow by salts or steps after Spark's estimate would fill the driver's memory."""
+    plans = []
+    kept = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, "kept")
+    written = components.written
+    for module in (components, simhash):
+        monkeypatch.setattr(module, "written", lambda df, name: kept(df))
+    rows = [(i, f"one text {i % 40} of a few words that are much alike") for i in range(200)]
+    found = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), limit=6)
+    kept(found)
+    kept(simhash.near_pairs(spark.createDataFrame([(1, 5), (2, 7)], "id long, fp long")))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_crowded_nodes_are_salted(spark, monkeypatch):
+    edges = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(1, 400)] + [(5000, 5001)]
+    monkeypatch.setattr(components, "HOT", 20)
+    monkeypatch.setattr(simhash, "HOT", 20)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == labels_of({x for e in edges for x in e}, edges)
+    rows = [(i if i % 9 else None, f"text {i % 3}") for i in range(300)]
+    groups = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), limit=0).collect()
+    assert len(groups) == 300 and {r.component_id for r in groups} == {1, 2, 3}
+
+
 def test_op10(spark, texts):
     first, want = {}, {}
     for i in sorted(texts):
