@@ -151,12 +151,19 @@ def _pair_correlation(x: np.ndarray, y: np.ndarray, half: int) -> np.ndarray:
     ok = np.isfinite(x)[:, None] & np.isfinite(y)
     centre = lambda v: v - (np.nanmean(v) if np.isfinite(v).any() else 0.0)
     x, y = np.where(ok, centre(x)[:, None], 0.0), np.where(ok, centre(y), 0.0)
-    n = len(ok)
-    lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
+    n, width = len(ok), 2 * half + 1
 
     def near(v: np.ndarray) -> np.ndarray:
-        c = np.concatenate([np.zeros((1, v.shape[1])), v.cumsum(axis=0)])
-        return c[hi] - c[lo]
+        """Sums over windows, put together from sums of 1, 2, 4 .. rows: a running sum over all rows would lose a small window's digits."""
+        v = np.concatenate([np.zeros((half, v.shape[1])), v, np.zeros((half, v.shape[1]))])
+        total, at = np.zeros((n, v.shape[1])), 0
+        for bit in range(width.bit_length()):
+            if width >> bit & 1:
+                total += v[at : at + n]
+                at += 1 << bit
+            if width >> bit + 1:
+                v = v[: -1 << bit] + v[1 << bit :]
+        return total
 
     m = np.maximum(near(ok.astype(float)), 1)
     sx, sy = near(x), near(y)

@@ -308,3 +308,19 @@ def test_stream_and_table_agree(spark, tmp_path):
     q.stop()
     rows = lambda df: {tuple(map(str, r)) for r in df.select("start", "event_type", "n").collect()}
     assert rows(spark.table("w")) == rows(causal.windowed(e))
+
+
+def test_pair_correlation_keeps_digits_beside_large_values():
+    """Sums over all rows would make a flat window vary, and a quiet one's correlation wrong, after a stretch of large values."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, 2000), rng.normal(0, 1, (2000, 2))
+    x[:900] *= 1e5
+    y[:900] *= 1e5
+    y[1200:1500, 1] = 97.3
+    x[rng.random(2000) < 0.05] = np.nan
+    got = align._pair_correlation(x, y, 15)
+    for i in (0, 10, 450, 1000, 1190, 1700, 1999):
+        a, ok = x[max(0, i - 15) : i + 16], np.isfinite(x[max(0, i - 15) : i + 16])
+        for k in (0, 1):
+            assert abs(got[i, k] - np.corrcoef(a[ok], y[max(0, i - 15) : i + 16, k][ok])[0, 1]) < 1e-9
+    assert np.isnan(got[1215:1485, 1]).all() and np.isfinite(got[1215:1485, 0]).all()
