@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lithoframe.operators import paths
+from lithoframe.operators import crossval, paths
 from lithoframe.plans import catalog, fixtures
 
 from conftest import DATA
@@ -87,3 +87,12 @@ def test_baseline_of_the_operators_own_size(spark, monkeypatch):
     for name in ("oof_gbt", "oof_gbt_residual", "test_mean_pred"):
         catalog.QUERIES[name](spark, DATA)
     assert seen == 3 * [(catalog.features.FEATURES, 5, set())]
+
+
+def test_folds_of_any_number_of_wells(spark):
+    """The SQL of the fold queries lists the shuffled order of 15, 150 and 1500 wells; the query deals any number."""
+    names = sorted(f"w{i}" for i in range(2718))
+    order = list(names)
+    np.random.RandomState(42).shuffle(order)
+    got = {r.well: r.fold for r in crossval.fold_map(spark.createDataFrame([(n,) for n in names], "well string")).collect()}
+    assert got == {w: i % 5 for i, w in enumerate(order)}
