@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +14,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task of the tree learner reads.
+PART_ROWS = 50_000
+
 
 def fold_map(df: DataFrame, n_splits: int = 5, seed: int = 42, key: str = "well") -> DataFrame:
     """``key, fold``: sorted distinct keys, shuffled with NumPy's legacy generator, dealt in turn.
@@ -70,16 +75,18 @@ def out_of_fold(train: DataFrame, features: list[str], target: str, folds: DataF
     offset = F.col(residual_to) if residual_to else F.lit(0.0)
     settings = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42, "maxBins": 64} | options
     rows = assembled(with_folds(train, folds).filter(F.col(target).isNotNull()), features).withColumn("__y", F.col(target) - offset).cache()
-    ready = assembled(test, features) if test is not None else None
-    oof, preds = [], []
+    ready = assembled(test, features).cache() if test is not None else None  # each fold's model reads it
     rounds = [] if rounds is None else rounds
-    for k in sorted(r[0] for r in folds.select("fold").distinct().collect()):
-        marked = rows.withColumn("__held", F.col("fold") == k)
-        model = GBTRegressor(featuresCol="features", labelCol="__y", validationIndicatorCol="__held", **settings).fit(marked)
-        rounds.append(model.getNumTrees)
-        oof.append(model.transform(rows.filter(F.col("fold") == k)).select(*ids, (F.col("prediction") + offset).alias("tvt_pred"), target, F.col("TVT_input").isNull().alias("is_hidden"), "fold"))
-        if ready is not None:
-            preds.append(model.transform(ready).select(*ids, (F.col("prediction") + offset).alias("pred"), F.col("TVT_input").isNull().alias("is_hidden")))
+    learner = GBTRegressor(featuresCol="features", labelCol="__y", validationIndicatorCol="__held", **settings)
+    ks = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    # A tree is many short jobs: rows lie in parts that are worth a task each, and folds are fitted side by side, each as it would be alone.
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+    dealt = rows.coalesce(parts)
+    with ThreadPool(len(ks) or 1) as pool:
+        models = pool.map(inheritable_thread_target(train.sparkSession)(lambda k: learner.fit(dealt.withColumn("__held", F.col("fold") == k))), ks)
+    rounds.extend(m.getNumTrees for m in models)
+    oof = [m.transform(rows.filter(F.col("fold") == k)).select(*ids, (F.col("prediction") + offset).alias("tvt_pred"), target, F.col("TVT_input").isNull().alias("is_hidden"), "fold") for k, m in zip(ks, models, strict=True)]
+    preds = [m.transform(ready).select(*ids, (F.col("prediction") + offset).alias("pred"), F.col("TVT_input").isNull().alias("is_hidden")) for m in models] if ready is not None else []
     mean = reduce(DataFrame.unionByName, preds).groupBy(*ids).agg(F.avg("pred").alias("tvt_pred"), F.bool_or("is_hidden").alias("is_hidden")) if preds else None
     return reduce(DataFrame.unionByName, oof), mean
 

@@ -96,3 +96,14 @@ def test_folds_of_any_number_of_wells(spark):
     np.random.RandomState(42).shuffle(order)
     got = {r.well: r.fold for r in crossval.fold_map(spark.createDataFrame([(n,) for n in names], "well string")).collect()}
     assert got == {w: i % 5 for i, w in enumerate(order)}
+
+
+def test_trees_read_parts_worth_a_task(spark, monkeypatch):
+    """Hundreds of parts of few rows made each of a tree's jobs slow."""
+    parts, fit = [], crossval.GBTRegressor.fit
+    monkeypatch.setattr(crossval.GBTRegressor, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    rows = [(f"w{i % 10}", i // 10, float(i % 7), float(i % 7) * 2, 1.0 if i % 3 else None) for i in range(400)]
+    t = spark.createDataFrame(rows, "well string, row_idx int, x double, TVT double, TVT_input double").repartition(64)
+    oof, mean = crossval.out_of_fold(t, ["x"], "TVT", crossval.fold_map(t, 3), t.drop("TVT"), maxIter=2, maxDepth=3)
+    assert parts and len(parts) == 3 and max(parts) <= spark.sparkContext.defaultParallelism
+    assert oof.count() == mean.count() == 400 and oof.select("well", "row_idx").distinct().count() == 400
