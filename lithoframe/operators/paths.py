@@ -78,10 +78,10 @@ def self_match(seen_gr: np.ndarray, seen_tvt: np.ndarray, gr: np.ndarray, half:
     """Per hidden row, the TVT at the centre of the visible window that correlates best with the row's own, and that correlation; NaN if too little is visible.
 
     A window is the rows within ``half``; a hidden log's ends are repeated
-    beyond it, visible windows start every ``stride`` rows. Pairs of windows at
-    one lag overlap, so their products come from one running sum for each lag,
-    and no more than a few logs are held. Of correlations that agree to nine
-    places the first window wins.
+    beyond it, visible windows start every ``stride`` rows. Windows of equal
+    values are compared once. Correlations are products of blocks of scaled
+    windows, so a block and the distinct visible windows are held. Of
+    correlations that agree to nine places the first window wins.
     """
     win, n = 2 * half + 1, len(gr)
     starts = len(seen_gr) - win + 1
@@ -90,28 +90,36 @@ def self_match(seen_gr: np.ndarray, seen_tvt: np.ndarray, gr: np.ndarray, half:
     level = seen_gr.mean()
     seen, own = seen_gr - level, np.concatenate([np.full(half, gr[0]), gr, np.full(half, gr[-1])]) - level
 
-    def moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (v, v * v))
-        mean = (total[win:] - total[:-win]) / win
-        return mean, np.sqrt(np.maximum((square[win:] - square[:-win]) / win - mean * mean, 0)) + 1e-6
-
-    (mean_own, size_own), (mean_seen, size_seen) = moments(own), moments(seen)
-    best, where = np.full(n, -np.inf), np.zeros(n, np.int64)
-    for lag in range(1 - n, starts):
-        first, last = max(0, -lag), min(n, starts - lag)
-        first += (-(first + lag)) % stride
-        if first >= last:
-            continue
-        running = np.cumsum(own[first : last + win - 1] * seen[first + lag : last + lag + win - 1])
-        running = np.concatenate([[0.0], running])
-        i = np.arange(first, last, stride)
-        s = i + lag
-        product = (running[win:] - running[:-win])[::stride] / win
-        c = np.round((product - mean_own[i] * mean_seen[s]) / (size_own[i] * size_seen[s]), 9)
-        now = best[i]
-        better = (c > now) | ((c == now) & (s < where[i]))
-        best[i[better]], where[i[better]] = c[better], s[better]
-    return seen_tvt[where + half], best
+    def scaled(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+        w = np.lib.stride_tricks.sliding_window_view(v, win)[at]
+        w = w - w.mean(axis=1, keepdims=True)
+        return w / (np.sqrt((w * w).mean(axis=1, keepdims=True)) + 1e-6)
+
+    first = np.sort(np.unique(window_numbers(seen, win)[::stride], return_index=True)[1]) * stride
+    _, rows, which = np.unique(window_numbers(own, win), return_index=True, return_inverse=True)
+    held = scaled(seen, first)
+    best, where = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+    for a in range(0, len(rows), 256):
+        mine, now, place = scaled(own, rows[a : a + 256]) / win, best[a : a + 256], where[a : a + 256]
+        for b in range(0, len(first), 4096):
+            c = mine @ held[b : b + 4096].T
+            top = np.round(c.max(axis=1), 9)
+            better = np.flatnonzero(top > now)
+            # The first that rounds to the best.
+            place[better] = first[b + (c[better] >= top[better, None] - 5e-10).argmax(axis=1)]
+            now[better] = top[better]
+    return seen_tvt[where[which] + half], best[which]
+
+
+def window_numbers(v: np.ndarray, win: int) -> np.ndarray:
+    """A number for each window of ``win`` values; windows have one number if and only if their values are equal."""
+    ids = np.unique(v, return_inverse=True)[1].astype(np.int64)
+    width = 1
+    while width < win:
+        step = min(width, win - width)
+        ids = np.unique(ids[:-step] * (len(v) + 1) + ids[step:], return_inverse=True)[1]
+        width += step
+    return ids
 
 
 def spectrum(v: np.ndarray) -> tuple[float, float]:

@@ -324,3 +324,22 @@ def test_pair_correlation_keeps_digits_beside_large_values():
         for k in (0, 1):
             assert abs(got[i, k] - np.corrcoef(a[ok], y[max(0, i - 15) : i + 16, k][ok])[0, 1]) < 1e-9
     assert np.isnan(got[1215:1485, 1]).all() and np.isfinite(got[1215:1485, 0]).all()
+
+
+def test_self_match_compares_equal_windows_once(monkeypatch):
+    """A log that repeats costs what its distinct windows cost, with the results of comparing every pair."""
+    rng = np.random.default_rng(5)
+    once = np.round(rng.exponential(50, 90), 1)
+    v = np.tile(once, 8)
+    t = rng.normal(0, 1, 200)
+    numbers = paths.window_numbers(v, 17)
+    assert len(np.unique(numbers)) == 90 and (numbers[:500] == numbers[90:590]).all()
+    for half in (3, 8):
+        win = 2 * half + 1
+        own = np.concatenate([np.full(half, v[200]), v[200:], np.full(half, v[-1])])
+        got = paths.self_match(v[:200], t, v[200:], half)
+        for i in range(0, len(v) - 200, 7):
+            a = own[i : i + win]
+            c = [np.round(((a * b).mean() - a.mean() * b.mean()) / ((a.std() + 1e-6) * (b.std() + 1e-6)), 9) for b in (v[s : s + win] for s in range(0, 200 - win + 1, 3))]
+            k = int(np.argmax(c))
+            assert got[0][i] == t[3 * k + half] and abs(got[1][i] - c[k]) < 2e-9
