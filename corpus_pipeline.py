@@ -47,9 +47,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = written(simhash_groups(rows, id_col=row).select(F.col("doc_id").alias("member"), F.col("component_id").alias("of")), "groups")
     others = groups.filter("member <> of")
     members = others.union(others.select(F.col("of").alias("member"), "of").distinct())
-    ranked = members.join(rows.select(F.col(row).alias("member"), "doc_id"), "member")
+    # Sides are merged, or written plain: an estimate by compressed files would broadcast what fills the driver.
+    ranked = members.hint("merge").join(rows.select(F.col(row).alias("member"), "doc_id"), "member")
     first = ranked.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member"))["member"].alias("member"))
-    dropped = members.join(first.select("member"), "member", "left_anti").select(F.col("member").alias(row))
+    dropped = written(members.join(first.select("member").hint("merge"), "member", "left_anti").select(F.col("member").alias(row)), "dropped", "uncompressed")
     return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 

@@ -381,8 +381,11 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 gone = values[take] < np.repeat(block.ids[doc], n)
                 np.add.at(removed, begin[gone], 1)
                 np.add.at(removed, begin[gone] + lengths[take][gone] + width - 1, -1)
-            mask = np.cumsum(removed[:-1]) > 0
-            edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+                del doc, place, windows, string, parts, count, lengths, values, first, offset, take, begin, gone, n
+            del got, raw
+            mask = np.cumsum(removed[:-1], out=removed[:-1]) > 0
+            edges = np.flatnonzero(np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+            del removed, mask
             all_starts, all_ends = edges[::2], edges[1::2]
             rows, size = [], 0
             for i, (a, b) in enumerate(zip([0, *block.ends[:-1].tolist()], block.ends.tolist(), strict=True)):

@@ -122,3 +122,12 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "none"))
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_near_broadcasts_no_rows(spark, monkeypatch):
+    plans, written = {}, pipeline.written
+    monkeypatch.setattr(pipeline, "written", lambda df, name, *a: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and written(df, name, *a))
+    pipeline.near(spark, queries.table(spark, DATA, "documents"), DATA).count()
+    plan = plans["dropped"]
+    assert "SortMergeJoin" in plan
+    assert plan.count("BroadcastExchange") == plan.count("Scan ExistingRDD[row_path")  # the files' numbers
