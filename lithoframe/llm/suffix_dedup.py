@@ -9,8 +9,10 @@ minimizers. Consecutive windows with one minimizer are a run. The steps:
 2. A shard tells each block which of them another document has too.
 3. Each block sends the bytes of those runs to their shards, each distinct
    string once with the least id of its documents.
-4. A shard sorts all suffixes of its strings and tells each block, for each
-   window of its strings, the least id of a document that has it.
+4. A shard sorts all suffixes of its strings, some megabytes of them at a time
+   by ranges of their minimizers, and tells each block, for each window of its
+   strings, the least id of a document that has it. A string whose minimizer no
+   other has within a half window's bytes shares no window, and isn't sorted.
 5. Each block marks the windows that a smaller id has, and cuts their bytes.
 
 Only hashes, marks and strings that repeat cross the network; texts stay in
@@ -36,11 +38,28 @@ from lithoframe.llm.token_file import file_system, put
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 SLICE = 1 << 16
+RANGES = 32
 NO_ID = np.iinfo(np.int64).max
 ROW = "shard int, block long, path string, kind int, data binary"
 ROW_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("data", pa.binary())])
 
 
+def _hashes(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed words of 8 bytes from each place on, and hashes of the ``k`` bytes there; bytes beyond the data are 0."""
+    n = len(data)
+    x = np.ndarray((n + k - 8,), "<u8", buffer=data + bytes(64), strides=(1,)).copy()
+    x *= _A
+    x ^= x >> np.uint64(29)
+    h = x[:n].copy()
+    for j in range(8, k, 8):
+        h *= _B
+        h ^= h >> np.uint64(31)
+        h += x[j : n + j]
+    h *= _C
+    h ^= h >> np.uint64(32)
+    return x, h
+
+
 def runs(data: bytes, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of documents that follow each other in ``data``: minimizer, document, first window, number of windows.
 
@@ -54,16 +73,7 @@ def runs(data: bytes, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray,
     none = np.zeros(0, np.int64)
     if n < width:
         return none.astype(np.uint64), none, none, none
-    x = np.ndarray((n + k - 8,), "<u8", buffer=data + bytes(64), strides=(1,)).copy()
-    x *= _A
-    x ^= x >> np.uint64(29)
-    h = x[:n].copy()
-    for j in range(8, k, 8):
-        h *= _B
-        h ^= h >> np.uint64(31)
-        h += x[j : n + j]
-    h *= _C
-    h ^= h >> np.uint64(32)
+    h = _hashes(data, k)[1]
     size = 1
     while size * 2 <= span:
         h = np.minimum(h[:-size], h[size:])
@@ -88,6 +98,50 @@ def runs(data: bytes, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray,
     return value[begin], doc[begin], place[begin], np.diff(begin, append=len(place))
 
 
+def may_share(strings: list[bytes], width: int, k: int) -> np.ndarray:
+    """Whether each of some distinct strings of runs may share a window with another; if not, none of its windows is in another.
+
+    A window has its string's minimizer, and holds half of its other bytes, or
+    more, on one side of it. So strings that share a window agree on these
+    bytes at least, on the left or on the right. Where a minimizer is in a
+    string twice, all strings that have it count.
+    """
+    half = (width - k) // 2
+    found = []
+    size = np.cumsum([len(s) for s in strings])
+    cuts = [0, *(np.flatnonzero(np.diff(size >> 20)) + 1).tolist(), len(strings)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # slices stay near the processor
+        lengths = np.diff(size[a:b], prepend=size[a - 1] if a else 0)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        x, h = _hashes(b"".join(strings[a:b]), k)
+        h[(ends[:, None] - np.arange(1, k)).ravel()] = ~np.uint64(0)  # these would reach into the next string
+        least = np.minimum.reduceat(h, starts)
+        hit = np.flatnonzero(h == np.repeat(least, lengths))
+        own = np.searchsorted(ends, hit, side="right")
+        place = np.zeros(b - a, np.int64)
+        place[own] = hit
+        sides = []
+        for begin in (place - half, place):
+            inside = (begin >= starts) & (begin + k + half <= ends)
+            key, begin = least.copy(), np.where(inside, begin, 0)
+            for j in (*range(0, k + half - 8, 8), k + half - 8):
+                key ^= x[begin + j]
+                key *= _B
+                key ^= key >> np.uint64(29)
+            sides += [inside, key]
+        found.append((least, np.bincount(own, minlength=b - a) > 1, *sides))
+    least, twice, *sides = (np.concatenate(c) for c in zip(*found, strict=True))
+    share = np.zeros(len(strings), bool)
+    for inside, key in (sides[:2], sides[2:]):
+        _, number, count = np.unique(key[inside], return_inverse=True, return_counts=True)
+        share[inside] |= count[number] > 1
+    _, number, count = np.unique(least, return_inverse=True, return_counts=True)
+    many = np.zeros(len(count), bool)
+    many[number[twice]] = True
+    return share | (many & (count > 1))[number]
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of a hash: ranges of its upper half."""
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -112,9 +166,9 @@ class Block:
         return self
 
     def write_runs(self, path: str, cuts: np.ndarray, own: np.ndarray) -> None:
-        """What is left to know of the runs once minimizers are numbered: ``cuts`` of the numbers by shard, runs a document, windows, numbers."""
+        """What is left to know of the runs once minimizers are numbered: ``cuts`` of the numbers by the shards' ranges, runs a document, windows, numbers."""
         fs, name = file_system(path)
-        parts = cuts.astype("<i8"), np.bincount(self.doc, minlength=len(self.ids)).astype("<i4"), self.windows.astype("<u1"), own.astype("<i4")
+        parts = cuts.astype("<i4"), np.bincount(self.doc, minlength=len(self.ids)).astype("<i4"), self.windows.astype("<u1"), own.astype("<i4")
         put(fs, name, _row(0, 0, "", 0, *parts)[4])
 
     def read_runs(self, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +176,7 @@ class Block:
         fs, name = file_system(path)
         with fs.open_input_stream(name) as f:
             raw = f.read()
-        cuts, count, windows, own = (np.frombuffer(p, t) for p, t in zip(_parts(raw), ("<i8", "<i4", "u1", "<i4"), strict=True))
+        cuts, count, windows, own = (np.frombuffer(p, t) for p, t in zip(_parts(raw), ("<i4", "<i4", "u1", "<i4"), strict=True))
         self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
         self.windows = windows.astype(np.int64)
         # Runs of a document follow each other without gaps, from its first byte.
@@ -233,7 +287,19 @@ def _blocks(batches, block_bytes: int) -> Iterator[tuple[list[int | None], list[
         yield ids, rows, texts
 
 
-def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, k: int = 16, block_bytes: int = 12 << 20, shards: int | None = None, kept: str = "bytes", row_col: str | None = None) -> DataFrame:
+def _together(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of consecutive ranges of at most ``most`` bytes, or of one range that is larger."""
+    a, held = 0, 0
+    for b, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield a, b
+            a, held = b, 0
+        held += size
+    if held:
+        yield a, len(sizes)
+
+
+def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, k: int = 16, block_bytes: int = 12 << 20, shards: int | None = None, kept: str = "bytes", row_col: str | None = None, sort_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, starts, ends, kept`` — spans of bytes to remove, in order, and what stays; and ``row``, the numbers in ``row_col``, if that is given.
 
     A byte goes if it lies in ``width`` bytes that also start in a document of
@@ -243,13 +309,14 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A NULL id counts as the largest there can be.
     Other columns play no part; an empty table gives no rows. Blocks rely on a
     partition giving its rows in the same order if a task runs again, as tables
-    do. ``kept`` asks for the remaining ``bytes``, for them as ``text`` without
+    do. A shard's strings are sorted about ``sort_bytes`` at a time; only those
+    of one range of minimizers are never parted. ``kept`` asks for the remaining ``bytes``, for them as ``text`` without
     the parts of characters that were cut through, or for their ``sha256``.
     """
     spark = df.sparkSession
     folder = fresh_path(spark, "blocks")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # A task sorts one shard at a time, so small shards bound its memory.
+    # A task holds one shard at a time, so small shards bound its memory.
     shards = shards or 4 * partitions
 
     def start(batches):
@@ -261,8 +328,9 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 key, path = (part << 24) + number, f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}"
                 block.write(path)
                 h, many, numbered = block.distinct()
-                cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-                block.write_runs(f"{path}-found", cuts, numbered)
+                ranges = np.searchsorted(shard_of(h, shards * RANGES), np.arange(shards * RANGES + 1))
+                block.write_runs(f"{path}-found", ranges, numbered)
+                cuts = ranges[::RANGES]
                 for s in range(shards):
                     a, b = int(cuts[s]), int(cuts[s + 1])
                     # Each shard answers each block, if only to name it.
@@ -299,14 +367,15 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def rows():
             for key, got in _groups(batches, 1):
                 block = Block.read(path := got[0][2], width)
-                by_shard, number = block.read_runs(f"{path}-found")
-                wanted = wanted_of(by_shard, number, got)
+                ranges, number = block.read_runs(f"{path}-found")
+                wanted = wanted_of(ranges[::RANGES], number, got)
                 strings, own, first = block.strings(wanted)
                 least = np.full(len(strings), np.iinfo(np.int64).max)
                 np.minimum.at(least, own, block.ids[block.doc[wanted]])
-                shard = np.searchsorted(by_shard, number[first], side="right") - 1
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+                part = np.searchsorted(ranges, number[first], side="right") - 1
+                order = np.argsort(part, kind="stable")
+                held = np.bincount(part, minlength=shards * RANGES).reshape(shards, RANGES)
+                cuts = [0, *np.cumsum(held.sum(axis=1)).tolist()]
                 # What the last step needs of each wanted run: document, first window, windows, string in shard order.
                 rank = np.empty(len(strings), np.int64)
                 rank[order] = np.arange(len(strings))
@@ -317,7 +386,7 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     mine = order[cuts[s] : cuts[s + 1]]
                     if len(mine):
                         chosen = [strings[i] for i in mine.tolist()]
-                        yield _row(s, key, path, 3, np.array([len(x) for x in chosen], "<u2"), least[mine].astype("<i8"), b"".join(chosen))
+                        yield _row(s, key, path, 3, held[s].astype("<u4"), np.array([len(x) for x in chosen], "<u2"), least[mine].astype("<i8"), b"".join(chosen))
 
         yield from _emit(rows())
 
@@ -328,29 +397,43 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for r in got:
                         yield _row(-1, r[1], r[2], 4, b"")
                     continue
-                numbers: dict[bytes, int] = {}
-                own, least = [], []
+                rows_ = []
                 for r in got:
-                    lengths, low, data = _parts(r[4])
-                    ends = np.cumsum(np.frombuffer(lengths, "<u2"), dtype=np.int64)
-                    raw = bytes(data)
-                    own.append(np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], np.int64))
-                    least.append(np.frombuffer(low, "<i8"))
-                owner = np.full(len(numbers), np.iinfo(np.int64).max)
-                np.minimum.at(owner, np.concatenate(own), np.concatenate(least))
-                value, begins = least_owner(list(numbers), owner, width)
-                numbers.clear()
-                # Stretches of windows with one value, within a string.
-                change = np.ones(len(value), bool)
-                change[1:] = value[1:] != value[:-1]
-                change[begins] = True
-                at = np.flatnonzero(change)
-                lengths, values = np.diff(at, append=len(value)), value[at]
-                first = np.searchsorted(at, begins)
-                count = np.diff(first, append=len(at))
-                for r, mine in zip(got, own, strict=True):
-                    take = np.repeat(first[mine] - (np.cumsum(count[mine]) - count[mine]), count[mine]) + np.arange(int(count[mine].sum()))
-                    yield _row(s, r[1], r[2], 4, count[mine].astype("<u2"), lengths[take].astype("<u2"), values[take].astype("<i8"))
+                    held, lengths, low, data = _parts(r[4])
+                    ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u2"), dtype=np.int64)])
+                    rows_.append((np.concatenate([[0], np.cumsum(np.frombuffer(held, "<u4"), dtype=np.int64)]), ends, np.frombuffer(low, "<i8"), data))
+                found = [([], [], []) for _ in got]
+                for a, b in _together(sum(np.diff(ends[held]) for held, ends, _, _ in rows_), sort_bytes):
+                    numbers: dict[bytes, int] = {}
+                    own, least = [], []
+                    for held, ends, low, data in rows_:
+                        i, j = int(held[a]), int(held[b])
+                        raw, at = bytes(data[ends[i] : ends[j]]), (ends[i : j + 1] - ends[i]).tolist()
+                        own.append(np.array([numbers.setdefault(raw[x:y], len(numbers)) for x, y in zip(at[:-1], at[1:], strict=True)], np.int64))
+                        least.append(low[i:j])
+                    owner = np.full(len(numbers), np.iinfo(np.int64).max)
+                    np.minimum.at(owner, np.concatenate(own), np.concatenate(least))
+                    strings = list(numbers)
+                    windows = np.array([len(x) for x in strings], np.int64) - (width - 1)
+                    begins = np.cumsum(windows) - windows
+                    value, shared = np.repeat(owner, windows), may_share(strings, width, k)
+                    value[np.repeat(shared, windows)] = least_owner([x for x, y in zip(strings, shared.tolist(), strict=True) if y], owner[shared], width)[0]
+                    numbers.clear()
+                    del strings
+                    # Stretches of windows with one value, within a string.
+                    change = np.ones(len(value), bool)
+                    change[1:] = value[1:] != value[:-1]
+                    change[begins] = True
+                    at = np.flatnonzero(change)
+                    lengths, values = np.diff(at, append=len(value)), value[at]
+                    first = np.searchsorted(at, begins)
+                    count = np.diff(first, append=len(at))
+                    for parts, mine in zip(found, own, strict=True):
+                        take = np.repeat(first[mine] - (np.cumsum(count[mine]) - count[mine]), count[mine]) + np.arange(int(count[mine].sum()))
+                        for p, v in zip(parts, (count[mine].astype("<u2"), lengths[take].astype("<u2"), values[take].astype("<i8")), strict=True):
+                            p.append(v)
+                for r, parts in zip(got, found, strict=True):
+                    yield _row(s, r[1], r[2], 4, *[np.concatenate(p) for p in parts])
 
         yield from _emit(rows())
 

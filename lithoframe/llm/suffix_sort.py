@@ -28,10 +28,11 @@ for _k in range(1, 17):
 
 
 class BucketQueue:
-    """Tuples by symbol, first in, first out; beyond ``memory`` bytes the largest part goes to files."""
+    """Tuples by symbol, first in, first out; beyond ``memory`` bytes the largest part goes to files, each of many parts."""
 
     def __init__(self, symbols: int, memory: int, folder: str, name: str):
         self.parts: list[list] = [[] for _ in range(symbols)]
+        self.next = [0] * symbols
         self.memory, self.held, self.stem, self.files = memory, 0, os.path.join(folder, name), 0
 
     def push(self, symbol: int, places: np.ndarray, shared: np.ndarray) -> None:
@@ -45,15 +46,36 @@ class BucketQueue:
         for symbol in np.argsort(sizes)[::-1].tolist():
             if self.held <= self.memory // 2 or not sizes[symbol]:
                 break
-            # The last file's order is kept: parts that are in memory follow those on disk or lie between them.
-            for i, part in enumerate(self.parts[symbol]):
-                if not isinstance(part, str):
-                    path = f"{self.stem}-{self.files}.npz"
-                    np.savez(path, places=part[0], shared=part[1])
-                    self.parts[symbol][i] = path
-                    self.files += 1
+            # The order is kept: neighbours in memory become one file, but for those that a reader has had and those to come.
+            old, new, cut, group = self.parts[symbol], [], self.next[symbol], []
+            for i, part in enumerate([*old, ""]):
+                if group and (i == cut or isinstance(part, str)):
+                    new.append(self.store(group))
+                    group = []
+                if i == cut:
+                    self.next[symbol] = len(new)
+                if isinstance(part, str):
+                    new.append(part)
+                else:
+                    group.append(part)
+            old[:] = new[:-1]
             self.held -= sizes[symbol]
 
+    def drop(self, symbol: int) -> None:
+        """Forget a symbol's tuples; what they took of the memory is free again."""
+        for part in self.parts[symbol]:
+            if isinstance(part, str):
+                os.unlink(part)
+            else:
+                self.held -= part[0].nbytes + part[1].nbytes
+        self.parts[symbol] = []
+
+    def store(self, group: list) -> str:
+        path = f"{self.stem}-{self.files}.npz"
+        np.savez(path, places=np.concatenate([g[0] for g in group]), shared=np.concatenate([g[1] for g in group]))
+        self.files += 1
+        return path
+
     @staticmethod
     def load(part) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(part, str):
@@ -63,13 +85,13 @@ class BucketQueue:
 
     def chunks(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All tuples of a symbol in order, in chunks, with those that are put while it runs."""
-        at, parts = 0, self.parts[symbol]
-        while at < len(parts):
+        parts = self.parts[symbol]
+        while self.next[symbol] < len(parts):
             group, n = [], 0
-            while at < len(parts) and n < CHUNK:
-                group.append(self.load(parts[at]))
+            while self.next[symbol] < len(parts) and n < CHUNK:
+                group.append(self.load(parts[self.next[symbol]]))
                 n += len(group[-1][0])
-                at += 1
+                self.next[symbol] += 1
             places, shared = group[0] if len(group) == 1 else (np.concatenate([g[0] for g in group]), np.concatenate([g[1] for g in group]))
             for i in range(0, n, CHUNK):
                 yield places[i : i + CHUNK], shared[i : i + CHUNK]
@@ -332,7 +354,8 @@ def _induced(text, depth, memory, in_memory, folder, lcp) -> Iterator[tuple[np.n
                 top = False
             induce.feed(places, shared)
             yield places, shared
-        rising.parts[c], falling.parts[c] = [], []
+        rising.drop(c)
+        falling.drop(c)
 
 
 def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

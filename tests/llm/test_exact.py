@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from lithoframe.llm import bpe, chat, components, encoder, packing, queries, simhash, suffix_sort, token_file
+from lithoframe.llm import bpe, chat, components, encoder, packing, queries, simhash, suffix_dedup, suffix_sort, token_file
 
 DATA = "/root/testdata/sf0.001"
 
@@ -129,6 +129,53 @@ def test_suffix_sort(strings, depth, in_memory, memory):
         assert n == s
 
 
+def test_queue_files_are_few(tmp_path):
+    queue = suffix_sort.BucketQueue(3, 10_000, str(tmp_path), "q")
+    tuples = lambda i: (np.array([i], np.int32), np.array([i % 50], np.uint8))
+    for i in range(9000):
+        queue.push(i % 3, *tuples(i))
+    assert queue.files <= 9000 * 5 // 5000 * 3
+    for symbol in range(2):
+        assert np.concatenate([p for p, _ in queue.chunks(symbol)]).tolist() == list(range(symbol, 9000, 3))
+        queue.drop(symbol)
+    # What was dropped takes no memory: few tuples more go to no file, each after each.
+    queue.drop(2)
+    assert queue.held == 0 and not list(tmp_path.iterdir())
+    before = queue.files
+    for i in range(1000):
+        queue.push(0, *tuples(i))
+    assert queue.files == before
+
+
+def test_strings_that_are_alone_share_no_window():
+    rng = np.random.default_rng(4)
+    letters = lambda n, of=b"ab": bytes(rng.choice(list(of), n).tolist())
+    shares = []
+    for width, k in ((50, 16), (51, 16), (20, 8)):
+        common = [letters(200) for _ in range(20)] + [b"ab" * 100, b"a" * 200]
+        texts = [letters(10, b"xyz") + common[i % 22][a : a + n] + letters(10, b"xyz") for i in range(400) for a, n in [(int(rng.integers(0, 120)), int(rng.integers(15, 80)))]]
+        data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+        value, _, place, n = suffix_dedup.runs(data, ends, width, k)
+        strings = list(dict.fromkeys(data[a : a + m + width - 1] for a, m in zip(place.tolist(), n.tolist())))
+        has = {}
+        for i, s in enumerate(strings):
+            for a in range(len(s) - width + 1):
+                has.setdefault(s[a : a + width], set()).add(i)
+        want = {i for got in has.values() if len(got) > 1 for i in got}
+        got = set(np.flatnonzero(suffix_dedup.may_share(strings, width, k)).tolist())
+        assert want <= got
+        shares.append((len(want), len(got), len(strings)))
+    assert all(0 < w and g < n for w, g, n in shares)
+
+
+def test_shards_are_sorted_in_ranges(spark):
+    assert list(suffix_dedup._together(np.array([0, 3, 2, 9, 0, 1, 1]), 5)) == [(0, 3), (3, 4), (4, 7)]
+    assert list(suffix_dedup._together(np.zeros(4, int), 5)) == []
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    once, parts = (sorted(map(tuple, suffix_dedup.removed_spans(docs, kept="sha256", shards=1, sort_bytes=n).collect())) for n in (1 << 30, 2000))
+    assert once == parts and any(r[2] for r in once)
+
+
 def test_op3_op5_op2_against_libraries(spark, texts):
     import tiktoken
     from tokenizers import Tokenizer
