@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.llm.common import keyed_text, lean, sliced, written
-from lithoframe.llm.encoder import encode_each, encoder, in_groups
+from lithoframe.llm.encoder import CHARS, ROWS, encode_each, encoder, in_groups
 
 
 @dataclass
@@ -113,15 +113,14 @@ def encode_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         kind = "<u2" if max(coder.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
         seen = np.zeros(longest + 1, np.int64)
         end = int(end_id).to_bytes(4, "little")
-        for batch in sliced(batches, 256):
-            rows = []
-            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in sliced(batches, ROWS):
+            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHARS):
+                rows = []
                 for key, got in zip(keys, encode_each(coder.encode, texts, coder.marked), strict=True):
                     ids = np.frombuffer(got + end, "<u4").astype(kind)
                     for piece, (start, length) in enumerate(cut(len(ids), longest)):
                         rows.append((key, piece, start, length, part, int(seen[length]), ids[start : start + length].tobytes()))
                         seen[length] += 1
-            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "part", "local_rank", "ids"])
 
     made = keyed_text(df, id_col, text_col).mapInArrow(lean(encode), "doc_id long, piece int, start long, length long, part long, local_rank long, ids binary")

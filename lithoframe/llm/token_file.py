@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.llm.common import fresh_path, keyed_text, lean, sliced, written
-from lithoframe.llm.encoder import encode_each, encoder, in_groups
+from lithoframe.llm.encoder import CHARS, ROWS, encode_each, encoder, in_groups
 
 NO_ID = -(1 << 63)
 MAGIC, VERSION, HEAD = b"LFTK", 1, struct.Struct("<4sHHIQQ")
@@ -131,8 +131,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             put(fs, f"{base}/{path}", token_bytes(docs, lengths, np.frombuffer(b"".join(ids), "<u4"), width, block))
             return pa.RecordBatch.from_pydict({"path": [f"{out}/{path}"], "part": [part], "number": [number], "n_docs": [len(docs)], "n_tokens": [held]})
 
-        for batch in sliced(batches, 256):
-            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in sliced(batches, ROWS):
+            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHARS):
                 for key, got in zip(keys, encode_each(coder.encode, texts, coder.marked), strict=True):
                     docs.append(NO_ID if key is None else key)
                     ids += (got, end)

@@ -220,6 +220,38 @@ def test_encoders_equal_their_libraries(texts):
     assert use.encode(texts) == [np.array(lib.encode_ordinary(x), "<u4").tobytes() for x in texts]
 
 
+_PIECES = st.sampled_from(["a", "bé", "C", " ", " ", "  ", "\n", "\n", ".", ",", "\t", "\r", "1", "'s", "-", "<|endoftext|>", "\u0301", "\x85", "中", "😀"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(_PIECES, max_size=14).map("".join), max_size=8))
+def test_encoder_on_odd_white_space(texts):
+    path = queries.tokenizer()
+    use = encoder.encoder(path)
+    assert use.encode(texts) == use.library(texts)
+
+
+def test_runs_are_looked_up_once_a_call():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, a):
+            Counted.n += 1
+            return super().__getitem__(a)
+
+    use = encoder.TextEncoder(queries.tokenizer())
+    use.known = Counted()
+    texts = ["one and the same and one " * 500 + "end\n"] * 4
+    assert use.encode(texts) == use.library(texts)
+    assert Counted.n < 50
+    long = ["a b " * 300_000 + "c", "d e", "", "\t f " * 300_000]
+    assert encoder.encode_each(use.encode, long, use.marked) == use.library(long)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=100), st.integers(1, 20))
 def test_bits(width, ids, block):
