@@ -59,7 +59,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = with_row(docs)
     kept, none = f"{row}_kept", f"{row}_none"
     cut = removed_spans(rows, kept="text", row_col=row).select(F.col("row").alias(row), F.col("kept").alias(kept))
-    found = rows.withColumn(none, F.col("text").isNull()).drop("text").join(cut, row)
+    # Merged, not broadcast: the estimate of what is cut is that of the marks it is made from, without the texts.
+    found = rows.withColumn(none, F.col("text").isNull()).drop("text").join(cut.hint("merge"), row)
     new = {"text": F.when(~F.col(none), F.col(kept))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(none), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))

@@ -85,7 +85,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     made = made.withColumn("recipe", F.coalesce("recipe", F.expr("array()").cast(made.schema["recipe"].dataType)))
     groups = made.groupBy("recipe").agg(F.max(F.struct(*own)).alias("keep"), F.count("*").alias("group_size")).filter("group_size > 1")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = made.withColumn("salt", salt_of(own[-1], salts)).join(groups, ["recipe", "salt"], "left")
+    # Merged, not broadcast: the estimate of the groups is that before their salts.
+    joined = made.withColumn("salt", salt_of(own[-1], salts)).join(groups.hint("merge"), ["recipe", "salt"], "left")
     keep = F.coalesce("keep", F.struct(*own))
     kept = keep["doc_id"].eqNullSafe(F.col("doc_id")) & (keep["row"] == F.col("row") if row_col else F.lit(True))
     return joined.select("doc_id", keep["doc_id"].alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "text_sha256", *own[1:])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from lithoframe.llm import queries, toxicity
+from lithoframe.llm.exact_dedup import exact_dedup
 from lithoframe.llm.simhash import fingerprint
 
 DATA = "/root/testdata/sf0.001"
@@ -131,3 +132,18 @@ def test_near_broadcasts_no_rows(spark, monkeypatch):
     plan = plans["dropped"]
     assert "SortMergeJoin" in plan
     assert plan.count("BroadcastExchange") == plan.count("Scan ExistingRDD[row_path")  # the files' numbers
+
+
+def test_substrings_broadcast_no_texts(spark):
+    """An estimate from the marks, which are few where little repeats, broadcast all texts while the query ran."""
+    out = pipeline.substrings(spark, queries.table(spark, DATA, "documents"), DATA)
+    out.collect()
+    ran = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "SortMergeJoin" in ran
+    assert ran.count("BroadcastHashJoin") == 2  # the files' numbers, for the texts and for the other columns
+
+
+def test_exact_dedup_broadcasts_no_salted_groups(spark):
+    """An estimate from the groups before their salts broadcast each 64 times."""
+    plan = exact_dedup(queries.table(spark, DATA, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
